@@ -23,7 +23,7 @@ def _percentiles(values: str, groups: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    day = "cast(timezone('UTC', cast(created_at as timestamptz)) as date)"
+    day = "cast(cast(timezone('UTC', cast(created_at as timestamptz)) as date) as varchar)"
     once = _ONCE.format
     return {
         "p6_skill_percentiles": _percentiles(

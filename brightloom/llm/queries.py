@@ -62,7 +62,7 @@ def utc_day(stamp: Column) -> Column:
 
 def _skill_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "skill_metrics").select("id", "skill_name", "created_at", "elapsed_ms")
-    return percentiles.measured(rows, "id", "elapsed_ms").withColumn("day", utc_day(F.col("created_at")))
+    return percentiles.measured(rows, "id", "elapsed_ms").withColumn("day", utc_day(F.col("created_at")).cast("string"))
 
 
 def _llm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _llm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = rows.where("id is not null").dropDuplicates(["id"])
     long = once.select(
         F.lower(F.trim("model")).alias("model"),
-        utc_day(F.col("created_at")).alias("day"),
+        utc_day(F.col("created_at")).cast("string").alias("day"),
         F.explode(
             F.create_map(
                 F.lit("elapsed_ms"), F.col("elapsed_ms"), F.lit("total_tokens"), F.col("total_tokens").cast("double")
