@@ -7,12 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import duplicates, percentiles, splitting
+from brightloom.llm import duplicates, leakage, percentiles, splitting, turns
 from brightloom.runtime import table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
 LIMIT, OVERLAP = 1000, 100
 
+# ---------------------------------------------------------------- 3: speaker turns
+
+
+def _meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "meetings").select("meeting_id", "attendees", "meeting_transcript")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(_meetings(spark, sf_dir), "meeting_id", "meeting_transcript", "attendees").select(
+        "meeting_id", "turn_no", "speaker"
+    )
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(_meetings(spark, sf_dir), "meeting_id", "meeting_transcript", "attendees")
+
+
+def p3_paused_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that also end at a pause of three times the meeting's usual step."""
+    return turns.speaker_turns(_meetings(spark, sf_dir), "meeting_id", "meeting_transcript", "attendees", 3.0)
+
+
 # ---------------------------------------------------------------- 4: duplicates
 
 
@@ -101,6 +123,18 @@ def p6_combined_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 8: leakage
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.withColumn("share", F.round("share", 6))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
     # pN_found stands first among the queries of its problem
