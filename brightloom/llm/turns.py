@@ -157,6 +157,8 @@ def _entries(df: DataFrame, id_col: str, transcript: str, attendees: str) -> Dat
     once = (
         df.select(F.col(id_col).alias("__id"), F.col(transcript).alias("__raw"), F.col(attendees).alias("__list"))
         .where(F.col("__id").isNotNull() & (F.length("__raw") > 0))
+        # a stated number of partitions: the work per byte is too high for small ones to be merged
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id")
         .dropDuplicates(["__id"])
     )
     names = F.coalesce(attendee_names(F.col("__list")), F.array().cast("array<string>"))
