@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import duplicates, leakage, percentiles, splitting, turns
+from brightloom.llm import duplicates, leakage, packing, percentiles, splitting, turns
 from brightloom.runtime import table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
@@ -123,6 +123,17 @@ def p6_combined_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- 7: packing
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_containers(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+
+
 # ---------------------------------------------------------------- 8: leakage
 
 
