@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import duplicates, leakage, packing, percentiles, splitting, turns
+from brightloom.llm import duplicates, leakage, packing, percentiles, sentences, splitting, turns
 from brightloom.runtime import table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
@@ -146,6 +146,18 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+# ---------------------------------------------------------------- 9: sentences
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
+    return units.select("doc_id", "start_pos")
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
     # pN_found stands first among the queries of its problem
