@@ -10,7 +10,7 @@ block grows with the data, and full containers never move again.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,6 +155,25 @@ class Bins:
         return best
 
 
+def _searcher(r: int, capacity: int, full: int, passes: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What is done with one block in round r."""
+
+    def search(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("row").reset_index(drop=True)
+        sizes = block["n_tokens"].to_numpy(dtype=np.int64)
+        if r == 0:
+            bins = Bins.filled(sizes, capacity)
+        else:
+            bins = Bins(sizes, pd.factorize(block["container"])[0].astype(np.int64), capacity)
+        bins.improve(full, passes)
+        number = block["block"].iloc[0] if len(block) else 0
+        block["container"] = [f"{r}-{number}-{b}" for b in bins.bin]
+        block["fill"] = bins.fill[bins.bin]
+        return block.drop(columns=["block"])
+
+    return search
+
+
 def pack(
     df: DataFrame,
     id_col: str,
@@ -204,23 +223,10 @@ def pack(
             "block", F.pmod(F.xxhash64(F.coalesce(F.col("container"), F.col("row").cast("string")), F.lit(r)), F.lit(blocks))
         )
 
-        def search(block: pd.DataFrame, r: int = r) -> pd.DataFrame:
-            block = block.sort_values(["row"]).reset_index(drop=True)
-            sizes = block["n_tokens"].to_numpy(dtype=np.int64)
-            if r == 0:
-                bins = Bins.filled(sizes, capacity)
-            else:
-                bins = Bins(sizes, pd.factorize(block["container"])[0].astype(np.int64), capacity)
-            bins.improve(full, passes)
-            number = block["block"].iloc[0] if len(block) else 0
-            block["container"] = [f"{r}-{number}-{b}" for b in bins.bin]
-            block["fill"] = bins.fill[bins.bin]
-            return block.drop(columns=["block"])
-
         searched = cut(
             dealt.repartition(min(blocks, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
             .groupBy("block")
-            .applyInPandas(search, columns + ", row bigint, container string, fill bigint")
+            .applyInPandas(_searcher(r, capacity, full, passes), columns + ", row bigint, container string, fill bigint")
         )
         last = r == rounds - 1 or blocks == 1
         kept = searched if last else searched.where(F.col("fill") >= full)
