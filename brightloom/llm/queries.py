@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import duplicates, leakage, packing, percentiles, sentences, splitting, turns
+from brightloom.llm import duplicates, leakage, neighbours, packing, percentiles, sentences, splitting, turns
 from brightloom.runtime import table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
 LIMIT, OVERLAP = 1000, 100
 
+# ---------------------------------------------------------------- 2: neighbours
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str, least: float = 0.9) -> DataFrame:
+    """The ten most similar chunks of every chunk and request, of a cosine of at least 0.90."""
+    return neighbours.most_similar(
+        table(spark, sf_dir, "vector_records").select("chunk_id", "embedding"), "chunk_id", "embedding",
+        table(spark, sf_dir, "retrieval_inputs").select("request_id", "query_vector"), "request_id", "query_vector",
+        k=10, least=least,
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p2_neighbours(spark, sf_dir)
+    of_chunk = ~F.col("is_query")
+    return near.select(
+        F.when(of_chunk, F.least("id", "neighbour")).otherwise(F.col("neighbour")).alias("key_a"),
+        F.when(of_chunk, F.greatest("id", "neighbour")).otherwise(F.col("id")).alias("key_b"),
+    ).distinct()
+
+
 # ---------------------------------------------------------------- 3: speaker turns
 
 
