@@ -7,12 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import duplicates, leakage, neighbours, packing, percentiles, sentences, splitting, turns
+from brightloom.llm import duplicates, leakage, neighbours, packing, pairs, percentiles, sentences, splitting, turns
 from brightloom.runtime import table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
 LIMIT, OVERLAP = 1000, 100
 
+# ---------------------------------------------------------------- 1: pairs
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant messages, each once, with the question their metadata names."""
+    said = (
+        table(spark, sf_dir, "messages")
+        .where("role = 'assistant' and message_id is not null")
+        .select("message_id", "content", F.get_json_object("metadata", "$.request_id").alias("request_id"))
+        .dropDuplicates(["message_id"])
+    )
+    asked = table(spark, sf_dir, "chat_requests").select("request_id", "query").dropDuplicates(["request_id"])
+    return said.join(asked, "request_id", "left")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(_answered(spark, sf_dir), "message_id", "query", "content").select("message_id", "defect")
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with the share of each label in its response."""
+    judged = pairs.broken_pairs(_answered(spark, sf_dir), "message_id", "query", "content", only_broken=False)
+    return judged.select("message_id", "defect", *[F.round(label, 4).alias(label) for label in pairs.LABELS])
+
+
 # ---------------------------------------------------------------- 2: neighbours
 
 
