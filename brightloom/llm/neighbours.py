@@ -88,7 +88,7 @@ class Codebooks:
             books.append(c)
         found = cls(books, cell_levels)
         # all residual codebooks together, for the codes that the beam chooses
-        codes, _, _ = found.encode(x, beam)
+        codes = np.concatenate([found.encode(x[a : a + 512], beam)[0] for a in range(0, len(x), 512)])
         rest = x - sum(books[m][codes[:, m]] for m in range(cell_levels))
         widths = [len(b) for b in books[cell_levels:]]
         at = np.concatenate([[0], np.cumsum(widths)])
