@@ -26,8 +26,8 @@ BUCKETS = 1 << 14
 WORDS = {
     "en": "the of and to in is are was with for on that by while before after be how what who why when can please does did which has had from our an this it one under without since because until at as so all not no yes only owner explain describe list summarise hi thanks",
     "de": "der die das und ist mit vor nach unter ohne wie warum bitte im seit den dem des ein eine nicht auf für von zu bei trotz nur beschreibe kurz auch wer was wann mir ich diese leider ihre es sind wird",
-    "fr": "le la les des et est une un dans avec sans pour sur que qui du au aux en par pas plus ne ce cette pourquoi comment quand vous nous je désolé à après avant pendant malgré il elle sont peux",
-    "es": "el la los las y es una un en con sin para por que del al se no su como cómo qué quién cuándo lo por tras antes durante más este esta son fue brevemente puedo siento ante falta",
+    "fr": "de le la les des et est une un dans avec sans pour sur que qui du au aux en par pas plus ne ce cette pourquoi comment quand vous nous je désolé à après avant pendant malgré il elle sont peux",
+    "es": "de a el la los las y es una un en con sin para por que del al se no su como cómo qué quién cuándo lo por tras antes durante más este esta son fue brevemente puedo siento ante falta",
     "it": "il lo gli di che è una un con per non del della sono dei nel alla perché come quando questo",
     "pt": "o os as um uma de que não para com do da em no na por mais como são foi está isso você",
 }
@@ -221,12 +221,16 @@ class Pair:
                 f"size {size}", f"first {i == 0} {last}", f"er {level} {relation}", f"ek {end} {kind}", f"rr {refuses} {relation}",
                 f"el {level} {size}", f"ae {asked} {level}",
             ]
+            plain_names = len(names)
             low = text.lower()
             words = re.findall(r"[a-zà-öø-ÿœ']+", low)
             names += [f"w {w}" for w in words] + [f"b {a} {b}" for a, b in zip(words, words[1:])]
             han = re.sub(r"[^㐀-鿿぀-ヿ가-힯]+", " ", low)
             names += [f"c {han[j : j + 2]}" for j in range(len(han) - 1) if " " not in han[j : j + 2]]
-            self.features.append(np.array([zlib.crc32(n.encode()) % BUCKETS for n in dict.fromkeys(names)], dtype=np.int64))
+            # the words of a clause together weigh as much as a few other features
+            lexical = max(1, len(names) - plain_names)
+            values = np.r_[np.ones(plain_names), np.full(len(names) - plain_names, min(1.0, 3.0 / lexical))]
+            self.features.append((np.array([zlib.crc32(n.encode()) % BUCKETS for n in names], dtype=np.int64), values))
         self.query = q
 
     def labels(self) -> list[int]:
@@ -267,8 +271,9 @@ class Field:
         if not pairs:
             return field
         n, T = len(pairs), max(len(p.clauses) for p in pairs)
-        ids = np.concatenate([f for p in pairs for f in p.features])
-        owner = np.repeat(np.arange(sum(len(p.clauses) for p in pairs)), [len(f) for p in pairs for f in p.features])
+        ids = np.concatenate([f for p in pairs for f, _ in p.features])
+        value = np.concatenate([v for p in pairs for _, v in p.features])[:, None]
+        owner = np.repeat(np.arange(sum(len(p.clauses) for p in pairs)), [len(f) for p in pairs for f, _ in p.features])
         row = np.concatenate([np.full(len(p.clauses), i) for i, p in enumerate(pairs)])
         col = np.concatenate([np.arange(len(p.clauses)) for p in pairs])
         y = np.concatenate([p.labels() for p in pairs])
@@ -282,7 +287,7 @@ class Field:
         g2w, g2m = np.full((BUCKETS, L), 1e-6), np.full((L + 1, L), 1e-6)
         for _ in range(steps):
             local = np.zeros((len(y), L))
-            np.add.at(local, owner, field.weights[ids])
+            np.add.at(local, owner, field.weights[ids] * value)
             e = np.zeros((n, T, L))
             e[row, col] = local
             A = field.moves[:L]
@@ -306,7 +311,7 @@ class Field:
                     joint = forward[live, t - 1, :, None] + A + (e[live, t] + backward[live, t])[:, None, :] - z[live, None, None]
                     moves[:L] += np.exp(joint).sum(axis=0)
             gw = np.zeros((BUCKETS, L))
-            np.add.at(gw, ids, (truth - expected)[owner])
+            np.add.at(gw, ids, (truth - expected)[owner] * value)
             gw = gw / n - decay * field.weights
             gm = (seen_moves - moves) / n - decay * field.moves
             g2w += gw**2
@@ -319,8 +324,8 @@ class Field:
         """The most likely labels of a pair's clauses, by Viterbi."""
         L = len(LABELS)
         score, back = None, []
-        for f in pair.features:
-            e = self.weights[f].sum(axis=0)
+        for f, v in pair.features:
+            e = v @ self.weights[f]
             if score is None:
                 score = e + self.moves[L]
                 continue
