@@ -36,7 +36,7 @@ MARKED = {"de": "äöüß", "fr": "èêàçùîôœëï", "es": "ñ¿¡", "pt":
 STOP = {w: [l for l in WORDS if w in WORDS[l].split()] for ws in WORDS.values() for w in ws.split()}
 PLACEHOLDERS = set("n/a na none null nil nan undefined empty placeholder tbd todo 空 无内容 待补充 暂无 未填写 なし 空白".split())
 REFUSES = re.compile(
-    r"\bI(?:'m| am) (?:not able|unable|not allowed|not permitted)|\bI (?:can(?:'t|not| not)|could not|won't be able to|will not|am afraid I can) ?(?:help|answer|share|provide|assist|comment|respond|do that|discuss)?"
+    r"\bI(?:'m| am) (?:not able|unable|not allowed|not permitted|afraid I can)|\bI (?:can(?:'t|not| not)|could not|won't be able to|will not|won't) (?:help|answer|share|provide|assist|comment|respond|discuss|give|offer|say|reply|do that)"
     r"|\bI (?:must|have to) (?:refrain|decline)|\bI don't have (?:access|enough|the information)|something I have to decline|not enough material .{0,40}for me|do not let me give"
     r"|cannot be answered from|outside of what I may do|answer(?:ing)? this is (?:outside|beyond)"
     r"|我(?:们)?(?:暂时)?(?:无法|没法|不便|不能|没有办法|需要婉拒|必须婉拒|无权)|不足以支持我|没有能用来回答|恕难|恕不|超出了?我的(?:权限|范围)|不便作答|无可奉告"
@@ -205,6 +205,10 @@ class Pair:
         self.size = [max(1, len(plain(t))) for _, t in self.clauses]
         self.features, self.seen = [], []
         single = len(self.clauses) == 1
+        whole = "".join(plain(t) for _, t in self.clauses)
+        rest = len(whole.replace(q, "")) if len(q) >= 4 else len(whole)
+        copied = len(q) >= 4 and (q in whole and rest <= max(8, 0.35 * len(q)) or whole in q and len(whole) >= 0.7 * len(q))
+        declines = any(REFUSES.search(t) for _, t in self.clauses)
         for i, (kind, text) in enumerate(self.clauses):
             last = i == len(self.clauses) - 1
             p = plain(text)
@@ -212,14 +216,17 @@ class Pair:
             relation = "none" if kind in ("code", "open_code", "data", "link") else relation_to(text, wanted)
             end = ending(kind, text, single) if last else "inner"
             refuses = bool(REFUSES.search(text))
-            asked = bool(ASKED.match(text))
+            repeats = copied or len(p) >= 6 and len(q) >= 4 and (
+                q in p and len(p) - len(q) <= 0.35 * len(q) or p in q and len(p) >= 0.7 * len(q)
+            )
+            asked = bool(ASKED.match(text)) and not repeats
             size = min(6, len(p).bit_length())
             level = int(echo * 5) if len(p) >= 4 else 0
-            self.seen.append((p, echo, relation, end, refuses, asked, kind))
+            self.seen.append((repeats, relation, end, refuses, declines, kind))
             names = [
                 "bias", f"end {end}", f"rel {relation}", f"echo {level}", f"refuses {refuses}", f"kind {kind}", f"asked {asked}",
                 f"size {size}", f"first {i == 0} {last}", f"er {level} {relation}", f"ek {end} {kind}", f"rr {refuses} {relation}",
-                f"el {level} {size}", f"ae {asked} {level}",
+                f"el {level} {size}", f"ae {asked} {level}", f"repeats {repeats}", f"declines {declines} {kind} {refuses}",
             ]
             plain_names = len(names)
             low = text.lower()
@@ -231,19 +238,12 @@ class Pair:
             lexical = max(1, len(names) - plain_names)
             values = np.r_[np.ones(plain_names), np.full(len(names) - plain_names, min(1.0, 3.0 / lexical))]
             self.features.append((np.array([zlib.crc32(n.encode()) % BUCKETS for n in names], dtype=np.int64), values))
-        self.query = q
 
     def labels(self) -> list[int]:
         """Labels by plain evidence, for training."""
-        whole = "".join(s[0] for s in self.seen)
-        q = self.query
-        rest = len(whole.replace(q, "")) if len(q) >= 4 else len(whole)
-        copied = len(q) >= 4 and (q in whole and rest <= max(8, 0.35 * len(q)) or whole in q and len(whole) >= 0.7 * len(q))
-        declines = any(s[4] for s in self.seen)
         out = []
-        for p, echo, relation, end, refuses, asked, kind in self.seen:
-            repeats = len(p) >= 6 and len(q) >= 4 and (q in p and len(p) - len(q) <= 0.35 * len(q) or p in q and len(p) >= 0.7 * len(q))
-            if copied or repeats:
+        for repeats, relation, end, refuses, declines, kind in self.seen:
+            if repeats:
                 out.append(ECHO)
             elif refuses or declines and len(self.seen) <= 6 and kind == "text":
                 out.append(REFUSAL)
@@ -256,6 +256,25 @@ class Pair:
         return out
 
 
+INTRODUCED = ["", "> ", "You asked: ", "Question: ", "Your question was: ", "您的问题是：", "问题：", "ご質問：", "Frage: ", "Question : ", "Pregunta: "]
+
+
+def with_made_defects(pairs: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
+    """The pairs, and for a part of them a copy with a defect made: the question given back, cut off, or exchanged.
+
+    So the field knows each kind however rare it is in the sample.
+    """
+    made = []
+    for i, (query, content) in enumerate(pairs):
+        if query and i % 10 == 0:
+            made.append((query, INTRODUCED[i // 10 % len(INTRODUCED)] + query.strip()))
+        elif len(content) > 12 and i % 10 == 1:
+            made.append((query, content[: 6 + zlib.crc32(content.encode()) % (len(content) - 8)]))
+        elif i % 10 == 2:
+            made.append((query, pairs[(i * 7919 + 13) % len(pairs)][1]))
+    return [*pairs, *made]
+
+
 class Field:
     """A linear-chain conditional random field over hashed features."""
 
@@ -263,8 +282,8 @@ class Field:
         self.weights, self.moves = weights, moves
 
     @classmethod
-    def fit(cls, pairs: list[Pair], steps: int = 70, rate: float = 0.4, decay: float = 1e-4, longest: int = 24) -> Field:
-        """Conditional likelihood by forward-backward on all sequences at once, with AdaGrad."""
+    def fit(cls, pairs: list[Pair], steps: int = 80, rate: float = 0.08, decay: float = 1e-5, longest: int = 24) -> Field:
+        """Conditional likelihood by forward-backward on all sequences at once, with Adam's steps."""
         pairs = [p for p in pairs if 0 < len(p.clauses) <= longest]
         L = len(LABELS)
         field = cls(np.zeros((BUCKETS, L)), np.zeros((L + 1, L)))
@@ -273,7 +292,9 @@ class Field:
         n, T = len(pairs), max(len(p.clauses) for p in pairs)
         ids = np.concatenate([f for p in pairs for f, _ in p.features])
         value = np.concatenate([v for p in pairs for _, v in p.features])[:, None]
-        owner = np.repeat(np.arange(sum(len(p.clauses) for p in pairs)), [len(f) for p in pairs for f, _ in p.features])
+        lengths = np.array([len(f) for p in pairs for f, _ in p.features])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         row = np.concatenate([np.full(len(p.clauses), i) for i, p in enumerate(pairs)])
         col = np.concatenate([np.arange(len(p.clauses)) for p in pairs])
         y = np.concatenate([p.labels() for p in pairs])
@@ -284,10 +305,10 @@ class Field:
         before = np.where(col == 0, L, np.concatenate([[L], y[:-1]]))
         seen_moves = np.zeros((L + 1, L))
         np.add.at(seen_moves, (before, y), 1)
-        g2w, g2m = np.full((BUCKETS, L), 1e-6), np.full((L + 1, L), 1e-6)
-        for _ in range(steps):
-            local = np.zeros((len(y), L))
-            np.add.at(local, owner, field.weights[ids] * value)
+        first = {"w": 0.0, "m": 0.0}
+        second = {"w": 0.0, "m": 0.0}
+        for step_no in range(1, steps + 1):
+            local = np.add.reduceat(field.weights[ids] * value, begins, axis=0)
             e = np.zeros((n, T, L))
             e[row, col] = local
             A = field.moves[:L]
@@ -310,14 +331,15 @@ class Field:
                 if live.any():
                     joint = forward[live, t - 1, :, None] + A + (e[live, t] + backward[live, t])[:, None, :] - z[live, None, None]
                     moves[:L] += np.exp(joint).sum(axis=0)
-            gw = np.zeros((BUCKETS, L))
-            np.add.at(gw, ids, (truth - expected)[owner] * value)
+            miss = (truth - expected)[owner] * value
+            gw = np.stack([np.bincount(ids, miss[:, l], BUCKETS) for l in range(L)], axis=1)
             gw = gw / n - decay * field.weights
             gm = (seen_moves - moves) / n - decay * field.moves
-            g2w += gw**2
-            g2m += gm**2
-            field.weights = field.weights + rate * gw / np.sqrt(g2w)
-            field.moves = field.moves + rate * gm / np.sqrt(g2m)
+            for name, g, held in (("w", gw, field.weights), ("m", gm, field.moves)):
+                first[name] = 0.9 * first[name] + 0.1 * g
+                second[name] = 0.99 * second[name] + 0.01 * g**2
+                up = first[name] / (1 - 0.9**step_no) / (np.sqrt(second[name] / (1 - 0.99**step_no)) + 1e-7)
+                held += rate * up
         return field
 
     def tags(self, pair: Pair) -> list[int]:
@@ -369,7 +391,7 @@ def coverage(field: Field, query: str | None, content: str | None) -> tuple[str
 
 
 def broken_pairs(
-    df: DataFrame, id_col: str, query: str, content: str, sample_size: int = 4000, only_broken: bool = True
+    df: DataFrame, id_col: str, query: str, content: str, sample_size: int = 3000, only_broken: bool = True
 ) -> DataFrame:
     """<id_col>, defect, and the share of each label: answer, refusal, echo, foreign, unfinished.
 
@@ -380,7 +402,8 @@ def broken_pairs(
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(query).alias("q"), F.col(content).alias("c"))
     chosen = slim.where(F.length("c") > 0).orderBy(F.xxhash64(F.col("id").cast("string")), "c").limit(sample_size).collect()
-    field = Field.fit([Pair(r["q"], r["c"]) for r in chosen if not is_empty(r["c"])])
+    sampled = with_made_defects([(r["q"], r["c"]) for r in chosen if not is_empty(r["c"])])
+    field = Field.fit([Pair(q, c) for q, c in sampled])
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
