@@ -259,6 +259,9 @@ class Pair:
 INTRODUCED = ["", "> ", "You asked: ", "Question: ", "Your question was: ", "您的问题是：", "问题：", "ご質問：", "Frage: ", "Question : ", "Pregunta: "]
 
 
+LEFT_OPEN = ["\n1. a\n2.", "\n- ", "\n```python\nfor row in rows:\n    x = (", "\n```\ncommand --", '\n{"step": 1, "target": "the', '\n[{"a": 1}, {"b"']
+
+
 def with_made_defects(pairs: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
     """The pairs, and for a part of them a copy with a defect made: the question given back, cut off, or exchanged.
 
@@ -270,6 +273,8 @@ def with_made_defects(pairs: list[tuple[str | None, str]]) -> list[tuple[str | N
             made.append((query, INTRODUCED[i // 10 % len(INTRODUCED)] + query.strip()))
         elif len(content) > 12 and i % 10 == 1:
             made.append((query, content[: 6 + zlib.crc32(content.encode()) % (len(content) - 8)]))
+        elif i % 10 == 3:
+            made.append((query, content.rstrip() + LEFT_OPEN[i // 10 % len(LEFT_OPEN)]))
         elif i % 10 == 2:
             made.append((query, pairs[(i * 7919 + 13) % len(pairs)][1]))
     return [*pairs, *made]
@@ -383,7 +388,7 @@ def coverage(field: Field, query: str | None, content: str | None) -> tuple[str
         defect = "copied"
     elif share[FOREIGN] > 0.5:
         defect = "other_language"
-    elif tags and tags[-1] == UNFINISHED:
+    elif tags and tags[-1] == UNFINISHED and pair.seen[-1][2] in ("open", "cut"):  # the exact check of its end
         defect = "truncated"
     else:
         defect = None
