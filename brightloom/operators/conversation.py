@@ -19,11 +19,21 @@ def last_messages(df: DataFrame, session: str, at: str, id_col: str, n: int = 3)
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 
 
-def needs_rewrite(query: Column, earlier: Column, least: int = 5) -> Column:
+def with_earlier(df: DataFrame, session: str, at: str, id_col: str) -> DataFrame:
+    """Adds has_earlier: whether the session has a question before this one; ties of time go by id.
+
+    Only the first question of each session is looked up, so that no session is ordered as a whole.
+    """
+    first = df.groupBy(F.col(session).alias("__s")).agg(F.min(F.struct(F.col(at).alias("a"), F.col(id_col).alias("i"))).alias("__first"))
+    joined = df.join(first, F.col(session).eqNullSafe(F.col("__s")), "left")
+    return joined.withColumn("has_earlier", F.col("__first.i") != F.col(id_col)).drop("__s", "__first")
+
+
+def needs_rewrite(query: Column, has_earlier: Column, least: int = 5) -> Column:
     """Whether a question points back, joins two questions, or follows others and isn't very short."""
     words = F.array(*[F.lit(w) for w in PRONOUNS + CONJUNCTIONS])
     text = F.coalesce(query, F.lit(""))
-    return F.exists(words, lambda w: F.contains(text, w)) | ((earlier > 0) & (F.length(text) >= least))
+    return F.exists(words, lambda w: F.contains(text, w)) | (has_earlier & (F.length(text) >= least))
 
 
 def summary_due(df: DataFrame, session: str, threshold: int = 20) -> DataFrame:

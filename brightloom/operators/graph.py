@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from brightloom.runtime import cut
 
 
-def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 200) -> DataFrame:
+def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 50) -> DataFrame:
     """source, target, weight: pairs of entities named in the same unit, source before target.
 
-    Units of more than most_per_unit entities (lists, not texts) would give millions of pairs each; their entities
-    are linked to their neighbours in order instead, so that they stay connected.
+    A unit of more than most_per_unit entities is a list, not a text, and would give pairs by the square of its size:
+    its entities are linked to the next one in order instead, in parts of about most_per_unit whose first entities are
+    linked in turn, so that the unit stays connected and no part of it is large. Null units and entities don't count.
     """
-    once = df.where(F.col(entity).isNotNull() & F.col(unit).isNotNull()).select(unit, entity).distinct()
-    units = once.groupBy(unit).agg(F.sort_array(F.collect_list(entity)).alias("e"))
-    n = F.size("e")
-    at = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(i.alias("i")))
-    small = units.where((n > 1) & (n <= most_per_unit)).select(F.col("e"), F.explode(at).alias("x"))
-    small = small.select(F.get("e", F.col("x.i")).alias("source"), F.explode(F.slice("e", F.col("x.i") + 2, F.size("e"))).alias("target"))
-    large = units.where(n > most_per_unit).select("e", F.explode(at).alias("x")).select(F.get("e", F.col("x.i")).alias("source"), F.get("e", F.col("x.i") + 1).alias("target"))
-    return small.unionByName(large).groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    once = df.where(F.col(entity).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.col(entity).alias("e")).distinct()
+    sizes = once.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    sized = once.join(sizes, "u")
+    small = sized.where((F.col("n") > 1) & (F.col("n") <= most_per_unit)).groupBy("u").agg(F.sort_array(F.collect_list("e")).alias("l"))
+    at = F.transform(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.struct(i.alias("i")))
+    pairs = small.select("l", F.explode(at).alias("x")).select(
+        F.get("l", F.col("x.i")).alias("source"), F.explode(F.slice("l", F.col("x.i") + 2, F.size("l"))).alias("target")
+    )
+    large = sized.where(F.col("n") > most_per_unit)
+    large = large.withColumn("part", F.pmod(F.xxhash64("e"), F.ceil(F.col("n") / most_per_unit)))
+    chained = large.select(F.lag("e").over(Window.partitionBy("u", "part").orderBy("e")).alias("source"), F.col("e").alias("target"))
+    heads = large.groupBy("u", "part").agg(F.min("e").alias("e"))
+    bridged = heads.select(F.lag("e").over(Window.partitionBy("u").orderBy("e")).alias("source"), F.col("e").alias("target"))
+    links = pairs.unionByName(chained.where("source is not null")).unionByName(bridged.where("source is not null"))
+    return links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def neighbourhood(edges: DataFrame, names: DataFrame, name: str) -> DataFrame:

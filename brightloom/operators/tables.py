@@ -81,16 +81,38 @@ def outlier_bounds(df: DataFrame, groups: list[str], value: str, accuracy: int =
     return bounds.withColumn("low", F.col("q1") - iqr * 1.5).withColumn("high", F.col("q3") + iqr * 1.5)
 
 
-def streaks(df: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Runs of consecutive failures per key: streak_no, n_failures and the order columns of the first.
+def streaks(df: DataFrame, key: str, order: str, failed: Column, stretch: int = 10_000) -> DataFrame:
+    """<key>, n_failures, first_<order> of every run of consecutive failures of a key, by a numeric order column.
 
-    Rows of a key are numbered by two counts, of all rows and of failures; their difference stays equal in a run.
+    The order is cut into stretches of some ``stretch`` rows on average. Runs are found in each stretch of a key, and
+    only those that touch an end of their stretch are joined over the stretches, so that a key of a third of all rows
+    is worked on in many tasks. Rows without key or order are left out; of rows of equal order, failures come first.
     """
-    at = Window.partitionBy(key).orderBy(*order)
-    flagged = df.withColumn("__f", F.coalesce(failed, F.lit(False)).cast("int"))
-    numbered = flagged.withColumn("__run", F.row_number().over(at) - F.sum("__f").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = numbered.where("__f = 1").groupBy(key, "__run").agg(F.count(F.lit(1)).alias("n_failures"), *[F.min(c).alias(f"first_{c}") for c in order])
-    return runs.drop("__run")
+    rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
+        F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(failed, F.lit(False)).cast("int").alias("f")
+    )
+    span = rows.agg(F.min("o"), F.max("o"), F.count(F.lit(1))).first()
+    width = max(1, (span[1] - span[0]) * stretch // span[2] + 1) if span[2] else 1
+    rows = rows.withColumn("b", F.floor(F.col("o") / width))
+    at = Window.partitionBy("k", "b").orderBy("o", F.desc("f"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("k", "b"))
+    numbered = rows.withColumn("n", F.row_number().over(at)).withColumn("size", size)
+    numbered = numbered.withColumn("run", F.col("n") - F.sum("f").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.where("f = 1").groupBy("k", "b", "run").agg(
+        F.count(F.lit(1)).alias("n_failures"), F.min("o").alias("first"),
+        (F.min("n") == 1).alias("at_start"), (F.max("n") == F.max("size")).alias("at_end"),
+    )
+    inner = runs.where("not at_start and not at_end").select("k", "n_failures", "first")
+    by_stretch = Window.partitionBy("k").orderBy("b")
+    places = rows.select("k", "b").distinct().withColumn("place", F.row_number().over(by_stretch))
+    outer = runs.where("at_start or at_end").join(places, ["k", "b"])
+    order_of = Window.partitionBy("k").orderBy("place", "first")
+    goes_on = F.col("at_start") & F.lag("at_end").over(order_of) & (F.lag("place").over(order_of) == F.col("place") - 1)
+    joined = outer.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn(
+        "no", F.sum("new").over(order_of.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    whole = joined.groupBy("k", "no").agg(F.sum("n_failures").alias("n_failures"), F.min("first").alias("first")).drop("no")
+    return inner.unionByName(whole).select(F.col("k").alias(key), "n_failures", F.col("first").alias(f"first_{order}"))
 
 
 def trend(df: DataFrame, day: str, value: str, span: int = 5) -> DataFrame:

@@ -81,13 +81,11 @@ def vec_label_centroid(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""select label, substring(md5(string_agg(cast(vec_id as varchar), '|' order by cast(vec_id as varchar))), 1, 12) as set_id, count(*) as n
-          from embeddings group by label""")
+@query("""select label, to_hex(bit_xor(cast('0x' || substring(md5(cast(vec_id as varchar)), 1, 15) as bigint))) as set_id, count(*) as n from embeddings group by label""")
 def vec_set_ids(spark: SparkSession, d: str) -> DataFrame:
-    """An id of each label's set of vectors; a set of ids is one value, so it is listed whole."""
-    e = table(spark, d, "embeddings")
-    ids = F.array_join(F.sort_array(F.collect_list(F.col("vec_id").cast("string"))), "|")
-    return e.groupBy("label").agg(F.substring(F.md5(ids), 1, 12).alias("set_id"), F.count(F.lit(1)).alias("n"))
+    """An id of each label's set of vectors, from digests that are combined in any order."""
+    each = F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    return table(spark, d, "embeddings").groupBy("label").agg(F.hex(F.bit_xor(each)).alias("set_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""with k as (select *, md5(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) as h from rerank_candidates),
@@ -379,13 +377,12 @@ _POINTS = " or ".join(f"contains(coalesce(query, ''), '{w}')" for w in conversat
 
 
 @query(f"""with o as (select distinct on (request_id) * from chat_requests order by request_id),
-  r as (select *, row_number() over (partition by session_id order by created_at, request_id) - 1 as earlier from o)
-  select request_id, earlier, ({_POINTS}) or (earlier > 0 and length(coalesce(query, '')) >= 5) as needs_rewrite from r""")
+  r as (select *, row_number() over (partition by session_id order by created_at, request_id) > 1 as has_earlier from o)
+  select request_id, has_earlier, ({_POINTS}) or (has_earlier and length(coalesce(query, '')) >= 5) as needs_rewrite from r""")
 def conv_needs_rewrite(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "chat_requests").dropDuplicates(["request_id"])
-    earlier = (F.row_number().over(Window.partitionBy("session_id").orderBy("created_at", "request_id")) - 1).cast("bigint")
-    r = r.withColumn("earlier", earlier)
-    return r.select("request_id", "earlier", conversation.needs_rewrite(F.col("query"), F.col("earlier")).alias("needs_rewrite"))
+    r = conversation.with_earlier(r, "session_id", "created_at", "request_id")
+    return r.select("request_id", "has_earlier", conversation.needs_rewrite(F.col("query"), F.col("has_earlier")).alias("needs_rewrite"))
 
 
 @query(f"""with r as (select *, row_number() over (partition by session_id order by created_at desc nulls last, message_id desc) as place from ({_MESSAGES})),
@@ -461,7 +458,7 @@ def metric_latest_by_trace(spark: SparkSession, d: str) -> DataFrame:
   r as (select *, row_number() over (partition by skill_name order by id) - sum(bad::int) over (partition by skill_name order by id) as run from f)
   select skill_name, count(*) as n_failures, min(id) as first_id from r where bad group by skill_name, run having count(*) >= 2""")
 def metric_failure_streaks(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.streaks(_skills(spark, d).select("skill_name", "id", "status"), "skill_name", ["id"], F.lower("status") != "success")
+    s = tables.streaks(_skills(spark, d).select("skill_name", "id", "status"), "skill_name", "id", F.lower("status") != "success")
     return s.where("n_failures >= 2")
 
 
@@ -672,7 +669,7 @@ def graph_global(spark: SparkSession, d: str) -> DataFrame:
    select a.doc_id as source, b.doc_id as target, count(*) as weight from o a join o b on a.request_id = b.request_id and a.doc_id < b.doc_id group by all""")
 def graph_co_occurrence(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are candidates of the same request."""
-    return graph.co_occurrence(table(spark, d, "rerank_candidates"), "request_id", "doc_id")
+    return graph.co_occurrence(table(spark, d, "rerank_candidates"), "request_id", "doc_id", 200)
 
 
 @query()
