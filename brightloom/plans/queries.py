@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brightloom.functions import text as T
 from brightloom.functions import vectors as V
 from brightloom.operators import chunking, conversation, graph, meetings, retrieval, search, summary, tables
-from brightloom.runtime import table
+from brightloom.runtime import spread, table
 from brightloom.sources import files
 from brightloom.streaming import events as streams
 
@@ -154,7 +154,7 @@ def doc_sentences_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def doc_recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.recursive_chunks(table(spark, d, "documents"), "doc_id", "text")
+    return chunking.recursive_chunks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _HAN = "length(regexp_replace({x}, '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]', '', 'g'))"
@@ -197,12 +197,12 @@ _SCORE = """with s as (select doc_id, len(l) as n, generate_subscripts(l, 1) - 1
 
 @query(_SCORE.format(sentences=_SENTENCES, words=", ".join(f"'{w}'" for w in summary.IMPORTANT), fillers=summary.FILLERS))
 def doc_heuristic_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summary.heuristic_summary(table(spark, d, "documents"), "doc_id", "text")
+    return summary.heuristic_summary(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query()
 def doc_ranked_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summary.ranked_summary(table(spark, d, "documents"), "doc_id", "text")
+    return summary.ranked_summary(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("""select d.doc_id, t.title from documents d join (select distinct title from documents where length(title) > 0) t on contains(d.text, t.title)""")

@@ -24,3 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the checkpoint folder all executors share, with their lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is read, in at least as many partitions as there are cores, for work that is dear per row.
+
+    Tables of enough files are left alone, so that only small ones are shuffled. For plain scans: counting the
+    partitions of a plan with shuffles would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
