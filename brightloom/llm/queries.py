@@ -8,23 +8,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm import duplicates, leakage, neighbours, packing, pairs, percentiles, sentences, splitting, turns
-from brightloom.runtime import table
+from brightloom.runtime import spread, table
 
 PROBABILITIES = [0.5, 0.9, 0.95, 0.99]
 LIMIT, OVERLAP = 1000, 100
 
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # ---------------------------------------------------------------- 1: pairs
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant messages, each once, with the question their metadata names."""
+    """Assistant messages, each once, with the question their metadata names.
+
+    Both tables are partitioned by request once, in a stated number of parts: copies of a message name the same
+    request, so they meet there too, and the tagging that follows keeps all of the parts. A message that names no
+    request has a key of its own, so that such messages are no hot group.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = F.get_json_object("metadata", "$.request_id")
     said = (
         table(spark, sf_dir, "messages")
         .where("role = 'assistant' and message_id is not null")
-        .select("message_id", "content", F.get_json_object("metadata", "$.request_id").alias("request_id"))
-        .dropDuplicates(["message_id"])
+        .select("message_id", "content", F.coalesce(named, F.concat(F.lit("none of "), F.col("message_id"))).alias("request_id"))
+        .repartition(parts, "request_id")
+        .dropDuplicates(["request_id", "message_id"])
     )
-    asked = table(spark, sf_dir, "chat_requests").select("request_id", "query").dropDuplicates(["request_id"])
+    asked = (
+        table(spark, sf_dir, "chat_requests").where("request_id is not null").select("request_id", "query")
+        .repartition(parts, "request_id").dropDuplicates(["request_id"])
+    )
     return said.join(asked, "request_id", "left")
 
 
@@ -173,7 +190,7 @@ def p6_combined_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +201,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaks = leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    leaks = leakage.leaked_passages(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
     return leaks.withColumn("share", F.round("share", 6))
 
 
@@ -196,12 +213,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=False)
+    units = sentences.sentence_units(_documents(spark, sf_dir), "doc_id", "text", with_text=False)
     return units.select("doc_id", "start_pos")
 
 
 def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentences.sentence_units(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
