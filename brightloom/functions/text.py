@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without blanks of any kind at both ends; null stays null."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -57,12 +64,15 @@ def language(text: Column, share: float = 0.3) -> Column:
 def keywords(text: Column, most: int = 20) -> Column:
     """Lower-case Latin words of two or more letters, then pairs of neighbouring Han characters, distinct, in order."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z]{2,})"), F.lit(1))
-    han = F.regexp_replace(text, rf"(?!{HAN})(?s:.)", "")
-    n = F.length(han)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(han, i, F.lit(2)))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.slice(F.array_distinct(F.concat(words, pairs)), 1, most)
+    none = F.array().cast("array<string>")
+
+    def pairs(han: Column) -> Column:
+        return F.when(
+            F.length(han) > 1, F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substr(han, i, F.lit(2)))
+        ).otherwise(none)
+
+    both = F.concat(words, let(F.regexp_replace(text, rf"(?!{HAN})(?s:.)", ""), pairs))
+    return F.slice(F.array_distinct(both), 1, most)
 
 
 def token_set(text: Column) -> Column:
@@ -113,3 +123,37 @@ def slug(name: Column) -> Column:
     name = F.regexp_replace(name, r"[^0-9A-Za-z_.\-]+", "_")
     name = F.regexp_replace(name, "_+", "_")
     return F.substring(F.regexp_replace(name, r"^[._]+|[._]+$", ""), 1, 100)
+
+
+def grams(text: Column, n: int = 4) -> Column:
+    """The distinct runs of n characters of a text without blanks, in lower case."""
+    def runs(bare: Column) -> Column:
+        size = F.length(bare)
+        each = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(bare, i, F.lit(n)))
+        return F.when(size >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.lower(F.regexp_replace(text, r"\s+", "")), runs)
+
+
+def gram_coverage(text: Column, source: Column, n: int = 4) -> Column:
+    """Share of a text's runs of n characters that its source has; 0 for a text without any, null where one is null."""
+    share = let(
+        grams(text, n),
+        lambda mine: F.when(F.size(mine) == 0, 0.0).otherwise(F.size(F.array_intersect(mine, grams(source, n))) / F.size(mine)),
+    )
+    return F.when(text.isNull() | source.isNull(), None).otherwise(share)
+
+
+def is_namespace(name: Column) -> Column:
+    """3 to 63 letters, digits, hyphens and underscores, with a letter or digit at both ends."""
+    return F.coalesce(name.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{1,61}[A-Za-z0-9]$"), F.lit(False))
+
+
+def roman(number: Column) -> Column:
+    """Roman numerals of 1 to 3999; null outside."""
+    values = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+    parts, left = [], number
+    for v, letters in values:
+        parts.append(F.repeat(F.lit(letters), F.floor(left / v).cast("int")))
+        left = left % v
+    return F.when((number >= 1) & (number <= 3999), F.concat(*parts))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brightloom.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -22,8 +24,7 @@ def is_zero(a: Column, tolerance: float = 1e-8) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; a vector shorter than 1e-10 stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n < 1e-10, 1.0).otherwise(n))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n < 1e-10, 1.0).otherwise(n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,3 +36,23 @@ def cosine(a: Column, b: Column) -> Column:
 def euclidean_similarity(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return 1 / (1 + F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)))
+
+
+def hashed_embedding(text: Column, dims: int = 64) -> Column:
+    """A unit vector of word counts in hashed places, for texts without a model's embedding; null for null.
+
+    Each word adds to one place, with a sign of its own. A text without words has the zero vector.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsHan}]|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+    places = F.transform(
+        words,
+        lambda w: let(F.xxhash64(w), lambda h: F.struct(F.pmod(h, F.lit(dims)).alias("p"), F.when(h < 0, -1.0).otherwise(1.0).alias("s"))),
+    )
+
+    def counts(pairs: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: F.aggregate(F.filter(pairs, lambda x: x["p"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]),
+        )
+
+    return F.when(text.isNotNull(), let(let(places, counts), unit))

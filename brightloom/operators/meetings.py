@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.functions.text import strip
+from brightloom.functions.text import let, strip
 
 # Words of decisions, topics and priorities; fixed values.
 DECISIONS = ["决定", "确定", "决议", "定下来", "就这样", "达成一致", "一致同意", "最终方案", "最终决定", "拍板", "敲定", "定夺", "decided", "decision", "agreed", "conclusion", "resolved"]
@@ -20,8 +20,7 @@ DEADLINES = [
 
 
 def holds_any(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    return let(F.lower(text), lambda low: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)))
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

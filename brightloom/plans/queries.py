@@ -687,3 +687,87 @@ def graph_entity_match(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "chat_requests").select("request_id", "query").dropDuplicates(["request_id"])
     names = table(spark, d, "documents").where("title is not null").select("title").distinct()
     return graph.top_entities(r, "request_id", "query", names, "title")
+
+
+# ---------------------------------------------------------------- embedding runs, grounding and simulated answers
+
+
+@query("""with o as (select distinct on (chunk_id) chunk_id, text, metadata.category as category from vector_records order by chunk_id),
+   u as (select regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, min(chunk_id) as first_id, count(*) as n from o where text is not null group by 1)
+   select cast(sum(n) as bigint) as total, count(*) as n_unique, cast(sum(n) - count(*) as bigint) as saved,
+          count(*) filter (where ends_with(first_id, '_0')) as hits, count(*) filter (where not ends_with(first_id, '_0')) as misses from u""")
+def embed_run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What embedding all chunks costs: each text once, and not those that an earlier run (of the first chunks) has."""
+    v = table(spark, d, "vector_records").select("chunk_id", "text").where("text is not null").dropDuplicates(["chunk_id"])
+    unique = v.groupBy(T.strip(F.col("text")).alias("t")).agg(F.min("chunk_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    cached = F.endswith(F.col("first_id"), F.lit("_0"))
+    return unique.agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_unique"), (F.sum("n") - F.count(F.lit(1))).alias("saved"),
+        F.count_if(cached).alias("hits"), F.count_if(~cached).alias("misses"),
+    )
+
+
+@query("""with o as (select distinct on (chunk_id) chunk_id, text from vector_records order by chunk_id),
+   u as (select regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, min(chunk_id) as source_id from o where text is not null group by 1)
+   select chunk_id, source_id from o join u on regexp_replace(o.text, '^\\s+|\\s+$', '', 'g') = u.t""")
+def embed_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """For every chunk the one whose embedding it shares."""
+    v = table(spark, d, "vector_records").select("chunk_id", "text").where("text is not null").dropDuplicates(["chunk_id"])
+    keyed = v.select("chunk_id", F.md5(T.strip(F.col("text"))).alias("k"))
+    first = keyed.groupBy("k").agg(F.min("chunk_id").alias("source_id"))
+    return keyed.join(first, "k").select("chunk_id", "source_id")
+
+
+@query()
+def embed_hashed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "vector_records").select("chunk_id", "text").where("text is not null").dropDuplicates(["chunk_id"])
+    return docs.select("chunk_id", V.hashed_embedding(F.col("text")).alias("embedding"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({x}) - 2), lambda i: substring({x}, i, 4)))"
+
+
+@query(f"""with a as ({_ANSWERS}), c as (select request_id, cand_id, content from rerank_candidates),
+  j as (select message_id, cand_id, lower(regexp_replace(a.content, '\\s+', '', 'g')) as x, lower(regexp_replace(c.content, '\\s+', '', 'g')) as y
+        from a join c using (request_id) where a.content is not null and c.content is not null),
+  g as (select message_id, cand_id, case when length(x) >= 4 then {_GRAMS.format(x="x")} else [] end as gx, case when length(y) >= 4 then {_GRAMS.format(x="y")} else [] end as gy from j)
+  select message_id, cand_id, round(case when len(gx) = 0 then 0 else len(list_intersect(gx, gy)) / len(gx) end, 6) as coverage from g""")
+def answer_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each answer every candidate of its request covers."""
+    c = table(spark, d, "rerank_candidates").select("request_id", "cand_id", F.col("content").alias("source"))
+    j = _answers(spark, d).where("content is not null").join(c.where("source is not null"), "request_id")
+    return j.select("message_id", "cand_id", F.round(T.gram_coverage(F.col("content"), F.col("source")), 6).alias("coverage"))
+
+
+@query("""with o as (select distinct on (request_id) request_id, query from chat_requests order by request_id),
+   k as (select request_id, list_distinct(regexp_extract_all(lower(query), '[a-z]{2,}')) as w from o),
+   c as (select request_id, cand_id, content from rerank_candidates),
+   l as (select c.request_id, cand_id, cast(generate_subscripts(string_split(content, chr(10)), 1) - 1 as integer) as line_no, regexp_replace(unnest(string_split(content, chr(10))), '^\\s+|\\s+$', '', 'g') as line from c),
+   m as (select l.*, row_number() over (partition by request_id order by cand_id, line_no) as rn from l join k using (request_id)
+         where length(line) > 20 and len(list_filter(list_slice(w, 1, 20), lambda x: contains(lower(line), x))) > 0)
+   select request_id, cand_id, line_no, substring(line, 1, 200) as line from m where rn <= 5""")
+def answer_extracts(spark: SparkSession, d: str) -> DataFrame:
+    """The first five candidate lines of every request that hold one of its Latin words."""
+    r = table(spark, d, "chat_requests").select("request_id", "query").dropDuplicates(["request_id"])
+    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z]{2,})"), F.lit(1))), 1, 20)
+    c = table(spark, d, "rerank_candidates").select("request_id", "cand_id", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    j = c.withColumn("line", T.strip(F.col("line"))).where(F.length("line") > 20).join(r.select("request_id", words.alias("w")), "request_id")
+    j = j.where(F.exists("w", lambda x: F.contains(F.lower("line"), x)))
+    order = Window.partitionBy("request_id").orderBy("cand_id", "line_no")
+    return j.withColumn("rn", F.row_number().over(order)).where("rn <= 5").select("request_id", "cand_id", "line_no", F.substring("line", 1, 200).alias("line"))
+
+
+@query("""select distinct kb_id, coalesce(regexp_matches(kb_id, '^[A-Za-z0-9][A-Za-z0-9_-]{1,61}[A-Za-z0-9]$'), false) as is_valid from documents""")
+def kb_names_valid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("kb_id").distinct().select("kb_id", T.is_namespace(F.col("kb_id")).alias("is_valid"))
+
+
+@query("""with o as (select distinct on (id) * from llm_metrics where id is not null order by id)
+   select lower(trim(model)) as model, count(*) as n, round(count(*) filter (where lower(status) = 'success') / count(*), 6) as success_rate,
+          round(avg(elapsed_ms) filter (where elapsed_ms > 0), 4) as mean_ms, cast(max(total_tokens) as integer) as most_tokens from o group by 1""")
+def metric_model_report(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "llm_metrics").where("id is not null").dropDuplicates(["id"])
+    return m.groupBy(F.lower(F.trim("model")).alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.lower("status") == "success") / F.count(F.lit(1)), 6).alias("success_rate"),
+        F.round(F.avg(F.when(F.col("elapsed_ms") > 0, F.col("elapsed_ms"))), 4).alias("mean_ms"), F.max("total_tokens").alias("most_tokens"),
+    )

@@ -40,6 +40,17 @@ def test_text_functions(spark):
     assert f(T.sentences, "One two. 三四五六。 x\nlast line") == ["One two.", "三四五六。", "last line"]
 
 
+def test_more_text_functions(spark):
+    df = spark.createDataFrame([("abcdef", "xxabcde"), ("ab", "ab"), (None, "a")], "a string, b string")
+    assert [r[0] for r in df.select(T.gram_coverage(F.col("a"), F.col("b"))).collect()] == [pytest.approx(2 / 3), 0.0, None]
+    names = spark.createDataFrame([("kb_1",), ("_kb",), ("ab",), (None,), ("a" * 64,)], "n string")
+    assert [r[0] for r in names.select(T.is_namespace(F.col("n"))).collect()] == [True, False, False, False, False]
+    numbers = spark.createDataFrame([(1994,), (3999,), (0,), (4,)], "n int")
+    assert [r[0] for r in numbers.select(T.roman(F.col("n"))).collect()] == ["MCMXCIV", "MMMCMXCIX", None, "IV"]
+    e = spark.createDataFrame([("rule engine 索引",), ("索引 ENGINE, rule!",), ("",), (None,)], "t string").select(V.hashed_embedding(F.col("t"), 16)).collect()
+    assert e[0][0] == e[1][0] and abs(sum(x * x for x in e[0][0]) - 1) < 1e-9 and set(e[2][0]) == {0.0} and e[3][0] is None
+
+
 def test_jaccard(spark):
     rows = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (None, ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in rows.select(T.jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0, None]
