@@ -336,11 +336,12 @@ def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
     return j.select("message_id", retrieval.confidence(F.col("top"), F.col("used"), grounded, cited, F.col("content")).alias("confidence"))
 
 
-@query(f"""with a as ({_ANSWERS}) select message_id, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 10 or regexp_matches(content, '{retrieval.DECLINED}') as declined,
+@query(f"""with a as (select message_id, coalesce(content, '') as content from ({_ANSWERS})) select message_id, length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 10 or regexp_matches(content, '{retrieval.DECLINED}') as declined,
    substring(content, 1, 500) as head, length(content) > 500 as is_cut from a""")
 def answer_declined(spark: SparkSession, d: str) -> DataFrame:
+    """A null answer is one without text."""
     c = F.col("content")
-    return _answers(spark, d).select(
+    return _answers(spark, d).na.fill({"content": ""}).select(
         "message_id", ((F.length(T.strip(c)) < 10) | c.rlike(retrieval.DECLINED)).alias("declined"), F.substring(c, 1, 500).alias("head"), (F.length(c) > 500).alias("is_cut")
     )
 
