@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -234,6 +235,40 @@ def test_summary(spark):
     assert summary.ranked_summary(df, "id", "t", most=2).count() >= 2
 
 
+def plainly_ranked(texts, n):
+    """One dense graph of all sentences."""
+    sets = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
+    sim = np.array([[len(a & b) / len(a | b) if i != j and a | b else 0.0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    step, rank = sim / (sim.sum(axis=1, keepdims=True) + 1e-12), np.full(len(texts), 1 / len(texts))
+    for _ in range(50):
+        old, rank = rank, 0.15 / len(texts) + 0.85 * step.T @ rank
+        if np.abs(rank - old).max() < 1e-6:
+            break
+    rank = np.round(rank, 12)
+    chosen = [int(np.argmax(rank))]
+    while len(chosen) < n:
+        closest = sim[:, chosen].max(axis=1)
+        worth = np.where(closest >= 0.75, -np.inf, 0.7 * rank - 0.3 * closest)
+        worth[chosen] = -np.inf
+        if not np.isfinite(worth.max()):
+            break
+        chosen.append(int(np.argmax(worth)))
+    return sorted(chosen)
+
+
+def test_long_texts_are_ranked_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    texts = [" ".join(["The", *rng.choice(words, rng.integers(4, 16))]).capitalize() + "." for _ in range(450)]
+    texts[440] = texts[20]  # the same sentence in what was another part
+    want = plainly_ranked(texts, 148)
+    assert summary.ranked_sentences(texts, 148) == want and not {20, 440} <= set(want)
+    got = summary.ranked_summary(spark.createDataFrame([(1, " ".join(texts))], "id int, t string"), "id", "t").collect()
+    assert sorted(r["sentence_no"] for r in got) == want and {r["sentence"] for r in got} <= set(texts)
+    monkeypatch.setattr(summary, "CELLS", 5000)  # nothing is kept, and blocks are a few rows
+    assert summary.ranked_sentences(texts, 148) == want and summary.ranked_sentences([], 3) == []
+
+
 def test_meetings(spark):
     df = spark.createDataFrame([(1, "我们决定明天上线\n  \nnothing here\nTopic: maybe later by Friday")], "id int, t string")
     got = meetings.marked_lines(df, "id", "t").orderBy("line_no").collect()
