@@ -11,9 +11,9 @@ from brightloom.runtime import cut
 def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 50) -> DataFrame:
     """source, target, weight: pairs of entities named in the same unit, source before target.
 
-    A unit of more than most_per_unit entities is a list, not a text, and would give pairs by the square of its size:
-    its entities are linked to the next one in order instead, in parts of about most_per_unit whose first entities are
-    linked in turn, so that the unit stays connected and no part of it is large. Null units and entities don't count.
+    A unit of more than most_per_unit entities is cut into parts of about so many by a hash, and every two parts meet
+    under a key of their own, so that all its pairs are counted and no task takes a unit whole. Null units and entities
+    don't count.
     """
     once = df.where(F.col(entity).isNotNull() & F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.col(entity).alias("e")).distinct()
     sizes = once.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
@@ -23,12 +23,12 @@ def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 50
     pairs = small.select("l", F.explode(at).alias("x")).select(
         F.get("l", F.col("x.i")).alias("source"), F.explode(F.slice("l", F.col("x.i") + 2, F.size("l"))).alias("target")
     )
-    large = sized.where(F.col("n") > most_per_unit)
-    large = large.withColumn("part", F.pmod(F.xxhash64("e"), F.ceil(F.col("n") / most_per_unit)))
-    chained = large.select(F.lag("e").over(Window.partitionBy("u", "part").orderBy("e")).alias("source"), F.col("e").alias("target"))
-    heads = large.groupBy("u", "part").agg(F.min("e").alias("e"))
-    bridged = heads.select(F.lag("e").over(Window.partitionBy("u").orderBy("e")).alias("source"), F.col("e").alias("target"))
-    links = pairs.unionByName(chained.where("source is not null")).unionByName(bridged.where("source is not null"))
+    parts = F.ceil(F.col("n") / most_per_unit).cast("int")
+    large = sized.where(F.col("n") > most_per_unit).select("u", "e", F.pmod(F.xxhash64("e"), parts).cast("int").alias("own"), F.sequence(F.lit(0), parts - 1).alias("others"))
+    first = large.select("u", F.col("own").alias("a"), F.explode("others").alias("b"), F.col("e").alias("source"))
+    second = large.select("u", F.explode("others").alias("a"), F.col("own").alias("b"), F.col("e").alias("target"))
+    crossed = first.join(second, ["u", "a", "b"]).where("source < target").select("source", "target")
+    links = pairs.unionByName(crossed)
     return links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 

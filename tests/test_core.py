@@ -2,6 +2,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,6 +227,16 @@ def test_graph(spark):
     assert graph.neighbourhood(edges, spark.createDataFrame([("a",), ("a",)], "n string"), "n").count() == 2
 
 
+def test_large_units_give_all_their_pairs(spark):
+    rows = [("big", f"e{i:03d}") for i in range(90)] + [("small", f"e{i:03d}") for i in (3, 40, 77)] + [("other", f"e{i:03d}") for i in range(80, 110)] + [("big", "e003"), ("big", None), (None, "e001")]
+    got = {(r["source"], r["target"]): r["weight"] for r in graph.co_occurrence(spark.createDataFrame(rows, "u string, e string"), "u", "e", 7).collect()}
+    held = {}
+    for u, e in set(rows):
+        if u and e:
+            held.setdefault(u, []).append(e)
+    assert got == Counter((a, b) for es in held.values() for a in es for b in es if a < b)
+
+
 def test_summary(spark):
     texts = ["The key finding is that load fell by 40 percent in March.", "A filler line stands here.", "The key finding is that load fell by 40 percent in March again.", "Costs rose in all other regions.", "End of the text is near."]
     assert summary.ranked_sentences(texts, 3) == sorted(set(summary.ranked_sentences(texts, 3))) and not {0, 2} <= set(summary.ranked_sentences(texts, 3))
