@@ -103,8 +103,11 @@ class Codebooks:
         fitted = [solved[at[i] : at[i + 1]].astype(np.float32) for i in range(len(widths))]
         return cls([*books[:cell_levels], *fitted], cell_levels)
 
-    def encode(self, x: np.ndarray, beam: int, levels: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of the best hypothesis, squared norm of its sum, and the best cells, by beam search."""
+    def encode(self, x: np.ndarray, beam: int, levels: int | None = None, looks: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the best hypothesis, squared norm of its sum, and the best cells, by beam search.
+
+        looks: how many cells are wanted, where that is more than the beam; the beam is so wide up to the cell only.
+        """
         n = len(x)
         levels = levels or len(self.books)
         cost = np.zeros((n, 1), dtype=np.float32)  # |sum|^2 / 2 - x.sum of each hypothesis
@@ -117,7 +120,7 @@ class Codebooks:
             for j in range(m):
                 total = total + self.cross[j, m][codes[:, :, j]]
             flat = total.reshape(n, -1)
-            width = min(beam, flat.shape[1])
+            width = min(max(beam, looks) if m < self.cell_levels else beam, flat.shape[1])
             best = np.argpartition(flat, width - 1, axis=1)[:, :width]
             score = np.take_along_axis(flat, best, axis=1)
             order = np.argsort(score, axis=1, kind="stable")
@@ -127,6 +130,7 @@ class Codebooks:
             codes = np.concatenate([kept, code[:, :, None].astype(np.int32)], axis=2)
             if m == self.cell_levels - 1:
                 cells = codes.copy()
+                cost, codes = cost[:, :beam], codes[:, :beam]
         top = codes[:, 0]
         near = x * 0 + sum(self.books[m][top[:, m]] for m in range(levels))
         return top, (near**2).sum(axis=1), cells
@@ -159,8 +163,8 @@ def most_similar(
     least: float = -1.0,
     size: int = 64,
     probes: int = 10,
-    rerank: int = 48,
-    per_cell: int = 256,
+    rerank: int = 320,
+    per_cell: int = 1024,
     residual_levels: int = 4,
     beam: int = 10,
     sample: int = 40_000,
@@ -171,7 +175,8 @@ def most_similar(
     is_query tells the queries' rows (true) from those of the vectors themselves (false), which are no neighbours
     of their own. Neighbours below the cosine ``least`` are left out. Vectors that are null, of another size, all
     zero or not finite match nothing; rows with the same id count once; null ids are left out; ties go to the
-    smaller id; an empty table gives no rows. probes: cells a query looks into; rerank: candidates of a cell that
+    smaller id; an empty table gives no rows. probes: cells a query looks into, and
+    1.6 times the root of the number of cells where that is more; rerank: candidates of a cell that
     are scored exactly; sample: vectors the codebooks are fitted on; block: most rows of one side in a task. Every
     vector is indexed; what the probes miss is the loss of accuracy.
     """
@@ -194,6 +199,7 @@ def most_similar(
     chosen = distinct.where("not is_query").orderBy(F.xxhash64("h"), "h").limit(sample).select("vec").toPandas()
     x = matrix(chosen["vec"], size)
     sizes, cell_levels = plan_sizes(n, per_cell, residual_levels, len(x))
+    looks = max(probes, int(np.ceil(1.6 * np.sqrt(np.prod(sizes[:cell_levels])))))
     books = Codebooks.fit(x, sizes, cell_levels, beam)
     sent = spark.sparkContext.broadcast(books)
 
@@ -203,8 +209,8 @@ def most_similar(
             for a in range(0, len(batch), 1024):
                 part = batch.iloc[a : a + 1024]
                 x = matrix(part["vec"], size)
-                codes, norms, cells = books.encode(x, beam)
-                looked = books.cell_number(cells)[:, :probes]
+                codes, norms, cells = books.encode(x, beam, looks=looks)
+                looked = books.cell_number(cells)[:, :looks]
                 yield pd.DataFrame(
                     {
                         "is_query": part["is_query"].to_numpy(), "h": part["h"].to_numpy(), "vec": part["vec"].to_numpy(),
@@ -242,15 +248,15 @@ def most_similar(
         books = sent.value
         is_item = group["is_query"].isna().to_numpy()
         mine, theirs = group[is_item], group[~is_item]
-        out = {"is_query": [], "h": [], "found": [], "cosine": []}
+        out = {"is_query": [], "h": [], "found": [], "cosine": []}  # a row a query: the hashes found, one after the other
         if len(mine) and len(theirs):
             y, codes = matrix(mine["vec"], size), np.frombuffer(b"".join(mine["codes"]), dtype=np.int32).reshape(len(mine), -1)
-            found_h, query_h, flag = mine["h"].to_numpy(), theirs["h"].to_numpy(), theirs["is_query"].to_numpy(dtype=bool)
+            found_h, query_h, flag = np.frombuffer(b"".join(mine["h"]), dtype="V16"), theirs["h"].to_numpy(), theirs["is_query"].to_numpy(dtype=bool)
             norms = mine["norm"].to_numpy() / 2
             x = matrix(theirs["vec"], size)
             keep = min(rerank, len(mine))
-            for a in range(0, len(x), 512):
-                q = x[a : a + 512]
+            for a in range(0, len(x), 256):
+                q = x[a : a + 256]
                 score = np.broadcast_to(norms, (len(q), len(mine))).copy()
                 for m in range(codes.shape[1]):  # one lookup per codebook; the tables are small
                     score -= (q @ books.books[m].T)[:, codes[:, m]]
@@ -260,19 +266,20 @@ def most_similar(
                 place = np.argsort(-cosine, axis=1, kind="stable")[:, :best]
                 value = np.take_along_axis(cosine, place, axis=1)
                 near = np.take_along_axis(near, place, axis=1)
-                r, c = np.nonzero(value >= least - 1e-6)
-                out["is_query"].append(flag[a + r])
-                out["h"].append(query_h[a + r])
-                out["found"].append(found_h[near[r, c]])
-                out["cosine"].append(value[r, c].astype(np.float64))
-        return pd.DataFrame({name: np.concatenate(parts) if parts else [] for name, parts in out.items()})
+                n = (value >= least - 1e-6).sum(axis=1)  # the best come first
+                some = np.flatnonzero(n)
+                out["is_query"] += flag[a + some].tolist()
+                out["h"] += query_h[a + some].tolist()
+                out["found"] += [found_h[near[r, : n[r]]].tobytes() for r in some]
+                out["cosine"] += [value[r, : n[r]] for r in some]
+        return pd.DataFrame({name: pd.Series(part, dtype=object) for name, part in out.items()})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hits = (
         left.unionByName(right)
         .repartition(max(parts, len(sizes) and min(4 * parts, sizes[0])), "cell", "item_blocks", "look_blocks")
         .groupBy("cell", "item_blocks", "look_blocks")
-        .applyInPandas(searched, "is_query boolean, h binary, found binary, cosine double")
+        .applyInPandas(searched, "is_query boolean, h binary, found binary, cosine array<float>")
     )
     return _expanded(rows, hits, k, least)
 
@@ -288,9 +295,18 @@ def _expanded(rows: DataFrame, hits: DataFrame, k: int, least: float) -> DataFra
         .drop("rank")
     )
     nearest = Window.partitionBy("is_query", "h").orderBy(F.desc("cosine"), "holder")
+    # what the cells found of a query meets packed; vectors that tie with the last one all stay, as their holders decide
+    best = (
+        hits.repartition("is_query", "h")
+        .select("is_query", "h", F.col("found").alias("all"), F.posexplode("cosine").alias("i", "cosine"))
+        .select("is_query", "h", F.substring("all", F.col("i") * 16 + 1, F.lit(16)).alias("found"), F.col("cosine").cast("double").alias("cosine"))
+        .where(F.round("cosine", 6) >= least)
+        .withColumn("rank", F.rank().over(Window.partitionBy("is_query", "h").orderBy(F.desc("cosine"))))
+        .where(F.col("rank") <= k + 1)
+        .drop("rank")
+    )
     lists = (
-        hits.where(F.round("cosine", 6) >= least)
-        .join(holders, "found")
+        best.join(holders, "found")
         .withColumn("rank", F.row_number().over(nearest))
         .where(F.col("rank") <= k + 1)
         .groupBy("is_query", "h")

@@ -58,17 +58,17 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 2: neighbours
 
 
-def p2_neighbours(spark: SparkSession, sf_dir: str, least: float = 0.9) -> DataFrame:
-    """The ten most similar chunks of every chunk and request, of a cosine of at least 0.90."""
+def p2_neighbours(spark: SparkSession, sf_dir: str, least: float = -1.0, rerank: int = 320) -> DataFrame:
+    """The ten most similar chunks of every chunk and request, however far; p2_found takes those of at least 0.90."""
     return neighbours.most_similar(
         table(spark, sf_dir, "vector_records").select("chunk_id", "embedding"), "chunk_id", "embedding",
         table(spark, sf_dir, "retrieval_inputs").select("request_id", "query_vector"), "request_id", "query_vector",
-        k=10, least=least,
+        k=10, least=least, rerank=rerank,
     )
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = p2_neighbours(spark, sf_dir)
+    near = p2_neighbours(spark, sf_dir, 0.9, 48)
     of_chunk = ~F.col("is_query")
     return near.select(
         F.when(of_chunk, F.least("id", "neighbour")).otherwise(F.col("neighbour")).alias("key_a"),

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from brightloom.llm import neighbours as N
+from brightloom.llm import queries
 
 
 def vectors(n, seed=0, size=64):
@@ -55,3 +56,20 @@ def test_copies_bad_vectors_and_queries(spark):
     assert all(len(v) == len(set(v)) <= 10 and k[1] not in v for k, v in of.items())
     assert not any(n.startswith("b") for v in of.values() for n in v)
     assert N.most_similar(df.limit(0), "chunk_id", "embedding").count() == 0
+
+
+def test_every_vector_has_its_neighbours_without_a_floor(spark, tmp_path):
+    x = np.random.default_rng(9).normal(size=(400, 64)).astype(np.float32)  # no pair is near 0.90
+    frame(spark, x).select("chunk_id", "embedding").write.parquet(str(tmp_path / "vector_records.parquet"))
+    spark.createDataFrame([("q1", [float(e) for e in x[3]])], "request_id string, query_vector array<float>").write.parquet(str(tmp_path / "retrieval_inputs.parquet"))
+    rows = queries.p2_neighbours(spark, str(tmp_path)).collect()
+    assert len(rows) == 401 * 10
+    assert {(r["key_a"], r["key_b"]) for r in queries.p2_found(spark, str(tmp_path)).collect()} == {("v00003", "q1")}
+
+
+def test_more_cells_than_the_beam():
+    x = vectors(2000, 7)
+    books = N.Codebooks.fit(x, [40, 16], 1, 4)
+    top, _, cells = books.encode(x, 4, looks=25)
+    assert books.cell_number(cells).shape == (2000, 25) and (top == books.encode(x, 4)[0]).all()
+    assert all(len(set(row)) == 25 for row in books.cell_number(cells)[:50].tolist())
