@@ -3,12 +3,14 @@
 Wu-Manber search for all windows of all items at once. Texts are folded by built-in functions to the bytes of
 their letters and digits. A shift table over blocks of three bytes says how far a window may move on without
 missing an occurrence; where it may not move, the hash of its last block selects the item windows that
-can be there, narrowed by a hash of the window, and the bytes themselves are compared. Windows that occur in
-several items are style, not content, and are not searched. Runs of confirmed windows are joined, and an item
-counts as leaked where neighbouring runs hold enough of what is its own.
+can be there, narrowed by a hash of the window, and the bytes themselves are compared. Runs of confirmed windows
+are joined, and an item counts as leaked where neighbouring runs hold enough of it. What many items have in common
+is style rather than content, so a byte of an item weighs the less the more items hold the windows over it, and
+never nothing; how many hold a window is counted over all items, by one aggregation.
 
-The items are the bounded side: they are collected in blocks of at most ``block_bytes`` folded bytes, and each
-block is searched in all documents. Documents are never shuffled, grouped or collected.
+Items of equal folded text are one pattern, and their ids come back by a join. The patterns are the bounded side:
+they are collected in blocks of at most ``block_bytes`` folded bytes, and a task searches each batch of documents
+for one block after the other. Documents are read and folded once, and never shuffled, grouped or collected.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.llm.duplicates import NARROW, WIDE
+from brightloom.runtime import cut
 
 BLOCK = 3
 TABLE_BITS = 18
 LANE = 1024
-NO_ITEM = np.iinfo(np.int64).max
 
 
 def folded(text: Column) -> Column:
@@ -46,39 +48,34 @@ def _hashes(data: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 
 
 class Patterns:
-    """The windows of m bytes that at most ``common`` items of a block hold, with the tables that find them."""
+    """The windows of m bytes of a block of items, with the tables that find them; weights: one per byte of the items."""
 
-    def __init__(self, items: list[bytes], m: int, common: int):
+    def __init__(self, items: list[bytes], m: int, weights: np.ndarray | None = None):
         self.m = m
         self.sizes = np.array([len(x) for x in items], dtype=np.int64)
         self.data = np.frombuffer(b"".join(items), dtype=np.uint8)
-        starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.weight = np.ones(len(self.data), dtype=np.float32) if weights is None else weights
+        total = np.concatenate([[0.0], np.cumsum(self.weight, dtype=np.float64)])
+        self.whole = total[self.starts + self.sizes] - total[self.starts]
+        self.heaviest = np.array([self.weight[a : a + n].max() if n else 1.0 for a, n in zip(self.starts, self.sizes)])
         counts = np.maximum(self.sizes - m + 1, 0)
-        self.item = np.repeat(np.arange(len(items)), counts)
-        first = np.cumsum(counts) - counts
-        self.offset = np.arange(counts.sum()) - np.repeat(first, counts)
-        self.start = starts[self.item] + self.offset
-        _, kind = np.unique(_hashes(self.data, self.start, m), return_inverse=True)
-        holders = np.unique(np.stack([kind, self.item]), axis=1)[0] if len(kind) else kind
-        own = np.bincount(holders, minlength=1)[kind] <= common if len(kind) else np.zeros(0, dtype=bool)
-        self.item, self.offset, self.start = self.item[own], self.offset[own], self.start[own]
-        #: bytes of each item that some window of its own covers
-        edge = np.zeros(len(self.data) + 1, dtype=np.int32)
-        np.add.at(edge, self.start, 1)
-        np.add.at(edge, self.start + m, -1)
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        self.own = covered[starts + self.sizes] - covered[starts]
+        item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
+        offset = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        start = self.starts[item] + offset
         self.shift = np.full(1 << TABLE_BITS, m - BLOCK + 1, dtype=np.uint8 if m < 256 else np.int32)
         for j in range(m - BLOCK + 1):  # the last block, at distance 0, comes last and wins
-            at = self.start + j
-            slot = _slots(self.data[at], self.data[at + 1], self.data[at + 2])
-            np.minimum.at(self.shift, slot, m - BLOCK - j)
-        end = self.start + m - BLOCK
-        self.bucket = _slots(self.data[end], self.data[end + 1], self.data[end + 2]).astype(np.uint64)
+            at = start + j
+            np.minimum.at(self.shift, _slots(self.data[at], self.data[at + 1], self.data[at + 2]), m - BLOCK - j)
         # windows ordered by the bucket of their last block, then by a hash of the window
-        self.key = (self.bucket << np.uint64(44)) | (_hashes(self.data, self.start, m) >> np.uint64(20))
-        order = np.argsort(self.key, kind="stable")
-        self.key, self.item, self.offset, self.start = (x[order] for x in (self.key, self.item, self.offset, self.start))
+        key = self._keys(self.data, start)
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.offset = key[order], item[order], offset[order]
+
+    def _keys(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        last = at + self.m - BLOCK
+        bucket = _slots(data[last], data[last + 1], data[last + 2]).astype(np.uint64)
+        return (bucket << np.uint64(44)) | (_hashes(data, at, self.m) >> np.uint64(20))
 
     def occurrences(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in data and numbers of the item windows there; texts lie at begin..end."""
@@ -97,70 +94,92 @@ class Patterns:
             pos = pos + np.maximum(shift, 1)
             live = pos < stop
             pos, stop = pos[live], stop[live]
-        at = np.concatenate(hits) if hits else np.empty(0, dtype=np.int64)
+        at = np.sort(np.concatenate(hits)) if hits else np.empty(0, dtype=np.int64)
         if not len(at):
             return at, at
-        last = at + m - BLOCK
-        bucket = _slots(data[last], data[last + 1], data[last + 2]).astype(np.uint64)
-        key = (bucket << np.uint64(44)) | (_hashes(data, at, m) >> np.uint64(20))
+        key = self._keys(data, at)
         low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         where = np.repeat(at, n)
         window = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = self.starts[self.item[window]] + self.offset[window]
         same = np.ones(len(where), dtype=bool)
         for j in range(m):
-            same &= data[where + j] == self.data[self.start[window] + j]
+            same &= data[where + j] == self.data[first + j]
         return where[same], window[same]
 
 
-def share_held(pos: np.ndarray, offset: np.ndarray, m: int, size: int, own: int, reach: float) -> tuple[float, int, int]:
-    """Largest share of an item's own bytes in neighbouring runs, and where these begin and end in the text.
+def share_held(pos: np.ndarray, offset: np.ndarray, m: int, weight: np.ndarray, reach: float) -> tuple[float, int, int]:
+    """Largest share of an item's weight in neighbouring runs, and where these begin and end in the text.
 
     pos and offset: of the confirmed windows of one item in one text, ordered by pos. Runs are neighbours while
     no more than reach times the item lies between them.
     """
-    best = (0.0, 0, 0)
+    best, size = (0.0, 0, 0), len(weight)
     parts = np.flatnonzero(np.diff(pos) > reach * size + m) + 1
     for p, o in zip(np.split(pos, parts), np.split(offset, parts)):
         held = np.zeros(size + 1, dtype=np.int32)
         np.add.at(held, o, 1)
         np.add.at(held, o + m, -1)
-        share = float((np.cumsum(held[:-1]) > 0).sum()) / own
+        share = float(weight[np.cumsum(held[:-1]) > 0].sum() / weight.sum())
         if share > best[0]:
             best = (share, int(p[0]), int(p[-1] + m))
     return best
 
 
-def _search(batches: Iterator[pa.RecordBatch], patterns: Patterns, ids: list, reach: float, least: float) -> Iterator[tuple]:
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a batch of folded texts, and where each begins and ends."""
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+    _, offsets, values = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(values if values is not None else b"", dtype=np.uint8), offsets[:-1], offsets[1:]
+
+
+def _search(data: np.ndarray, begin: np.ndarray, end: np.ndarray, patterns: Patterns, reach: float, least: float) -> Iterator[tuple]:
+    """(text, item, share, first byte, last byte) of the items that the texts at begin..end hold enough of."""
     m = patterns.m
-    for batch in batches:
-        column = batch.column(1)
-        if not len(column):
-            continue
-        if not pa.types.is_large_binary(column.type):
-            column = column.cast(pa.large_binary())
-        _, offsets, values = column.buffers()
-        offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-        if values is None:
-            continue
-        data = np.frombuffer(values, dtype=np.uint8)
-        begin, end = offsets[:-1], offsets[1:]
-        where, window = patterns.occurrences(data, begin, end)
-        if not len(where):
-            continue
-        text = np.searchsorted(end, where, "right")
-        item = patterns.item[window]
-        order = np.lexsort((where, item, text))
-        text, item, where, offset = text[order], item[order], where[order], patterns.offset[window][order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0)]))
-        n = np.diff(np.append(first, len(text)))
-        enough = n * m >= least * patterns.own[item[first]]  # so many windows could cover the share
-        for k, j in zip(first[enough], first[enough] + n[enough]):
-            t, i = int(text[k]), int(item[k])
-            share, start, stop = share_held(where[k:j], offset[k:j], m, int(patterns.sizes[i]), int(patterns.own[i]), reach)
-            if share >= least:
-                yield batch.column(0)[t].as_py(), ids[i], share, start - int(begin[t]), stop - int(begin[t])
+    where, window = patterns.occurrences(data, begin, end)
+    if not len(where):
+        return
+    text = np.searchsorted(end, where, "right")
+    item = patterns.item[window]
+    order = np.lexsort((where, item, text))
+    text, item, where, offset = text[order], item[order], where[order], patterns.offset[window][order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0)]))
+    n = np.diff(np.append(first, len(text)))
+    enough = n * m * patterns.heaviest[item[first]] >= least * patterns.whole[item[first]]  # so many windows could cover the share
+    for k, j in zip(first[enough], first[enough] + n[enough]):
+        t, i = int(text[k]), int(item[k])
+        weight = patterns.weight[patterns.starts[i] : patterns.starts[i] + patterns.sizes[i]]
+        share, start, stop = share_held(where[k:j], offset[k:j], m, weight, reach)
+        if share >= least:
+            yield t, i, share, start - int(begin[t]), stop - int(begin[t])
+
+
+def _weighed(texts: DataFrame, m: int) -> DataFrame:
+    """Adds held: for every window of a text how many of all the texts hold it, in order of the windows."""
+    each = texts.select("key", "folded", F.explode(F.sequence(F.lit(0), F.col("size") - m)).alias("at"))
+    each = each.select("key", "at", F.xxhash64(F.substring("folded", F.col("at") + 1, F.lit(m))).alias("w"))
+    holders = each.select("key", "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    held = each.join(holders, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("held"))
+    return texts.join(held, "key").select("key", "folded", F.transform("held", lambda x: x["n"]).alias("held"))
+
+
+def _patterns(rows: list, m: int, n_texts: int) -> tuple[Patterns, list]:
+    """A block of items with a weight for each of their bytes, and the keys of the items.
+
+    A window that one text alone holds weighs 1, one that all hold 0.05, by the logarithm of the number of its holders
+    between; a byte weighs as the lightest window over it.
+    """
+    weights = []
+    for r in rows:
+        held = np.array(r["held"], dtype=np.float64)
+        weight = np.maximum(0.05, 1 - np.log(held) / np.log(n_texts + 1)).astype(np.float32)
+        padded = np.concatenate([np.full(m - 1, 2, dtype=np.float32), weight, np.full(m - 1, 2, dtype=np.float32)])
+        weights.append(np.lib.stride_tricks.sliding_window_view(padded, m).min(axis=1))
+    return Patterns([bytes(r["folded"]) for r in rows], m, np.concatenate(weights)), [r["key"] for r in rows]
 
 
 def leaked_passages(
@@ -172,21 +191,21 @@ def leaked_passages(
     item_text: str = "text",
     window: int = 15,
     least: float = 0.4,
-    common: int = 3,
     reach: float = 1.0,
-    block_bytes: int = 8_000_000,
+    block_bytes: int = 4_000_000,
+    batch_bytes: int = 16_000_000,
 ) -> DataFrame:
-    """One row per document and item of whose own text the document reproduces at least the share ``least``.
-
-    Columns: <doc_id>, <item_id>, share (of the item's own letters and digits, in bytes), first_byte and
-    last_byte (of the runs in the folded document). Layout, case and punctuation don't count. An exchanged
-    word or character takes the windows across it away, so half of an item with a few exchanges still holds
-    0.4 of it. window: bytes of a confirmed run (5 Chinese characters or 15 Latin letters); windows in more than
-    ``common`` items of a block don't count, on either side of the share, unless an item has none of its own
-    and is then left out. Items of fewer than two windows are searched with windows of 7 bytes, and items
-    without at least 8 bytes of letters or digits can't be told from chance and give no rows. Null ids and null
-    or empty texts on either side give no rows; a repeated document gives its rows once per repetition, a
-    repeated item counts once. Very long documents are searched whole.
+    """One row per document and item of which the document reproduces at least the share ``least``.
+
+    Columns: <doc_id>, <item_id>, share (of the weight of the item's letters and digits), first_byte and last_byte (of
+    the runs in the folded document). Layout, case and punctuation don't count. An exchanged word or character takes
+    the windows across it away, so half of an item with a few exchanges still holds 0.4 of it. window: bytes of a
+    confirmed run (5 Chinese characters or 15 Latin letters). Items of fewer than two windows are searched with
+    windows of 7 bytes, and items without at least 8 bytes of letters or digits can't be told from chance and give no
+    rows. All ids that hold the same text give rows. Null ids and null or empty texts on either side give no rows; a
+    repeated document gives its rows once per repetition, a repeated item counts once. Very long documents are searched
+    whole. block_bytes bounds the patterns that a task holds, batch_bytes the documents it searches at once (a longer
+    one is searched alone); neither changes the result.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -194,36 +213,50 @@ def leaked_passages(
     docs = documents.where(F.col(doc_id).isNotNull() & (F.length(doc_text) > 0)).select(
         F.col(doc_id).alias("doc"), folded(F.col(doc_text)).alias("folded")
     )
-    known = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), folded(F.col(item_text)).alias("folded")).distinct()
-    sized = known.withColumn("size", F.octet_length("folded")).where("size >= 8")
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = None
-    for low, high, m in ((2 * window, NO_ITEM, window), (8, 2 * window, 7)):
+    known = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), folded(F.col(item_text)).alias("folded"))
+    known = known.where(F.octet_length("folded") >= 8).select("item", F.md5("folded").alias("key"), "folded")
+    texts = cut(known.groupBy("key").agg(F.any_value("folded").alias("folded")).withColumn("size", F.octet_length("folded")))
+    empty = docs.limit(0).select(
+        F.col("doc").alias(doc_id), F.lit(None).cast(item_kind).alias(item_id), F.lit(0.0).alias("share"),
+        F.lit(0).cast("bigint").alias("first_byte"), F.lit(0).cast("bigint").alias("last_byte"),
+    )
+    sent = []
+    for low, high, m in ((2 * window, None, window), (8, 2 * window, 7)):
+        those = texts.where((F.col("size") >= low) & (F.col("size") < high if high else F.lit(True)))
+        some = those.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
+        if not some["n"]:
+            continue
+        blocks = -(-some["bytes"] // block_bytes)
+        weighed = _weighed(those, m).withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        weighed = cut(weighed) if blocks > 1 else weighed
         for b in range(blocks):
-            chosen = sized.where(f"size >= {low} and size < {high} and pmod(xxhash64(item), {blocks}) = {b}").collect()
-            if not chosen:
-                continue
-            ids = [r["item"] for r in chosen]
-            sent = spark.sparkContext.broadcast((Patterns([bytes(r["folded"]) for r in chosen], m, common), ids))
-
-            def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                patterns, ids = sent.value
-                for batch in batches:
-                    rows = list(_search(iter([batch]), patterns, ids, reach, least))
-                    if rows:
-                        columns = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1]), pa.array(columns[2], pa.float64()),
-                             pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                            names=[doc_id, item_id, "share", "first_byte", "last_byte"],
-                        )
-
-            part = docs.mapInArrow(search, f"`{doc_id}` {kind}, `{item_id}` {item_kind}, share double, first_byte bigint, last_byte bigint")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.limit(0).select(
-            F.col("doc").alias(doc_id), F.lit(None).cast(item_kind).alias(item_id), F.lit(0.0).alias("share"),
-            F.lit(0).cast("bigint").alias("first_byte"), F.lit(0).cast("bigint").alias("last_byte"),
-        )
-    return out
+            rows = weighed.where(F.col("b") == b).collect()
+            if rows:
+                sent.append(spark.sparkContext.broadcast(_patterns(rows, m, some["n"])))
+    if not sent:
+        return empty
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, begin, end = _texts(batch.column(1))
+            rows = []
+            for block in sent:
+                patterns, keys = block.value
+                a = 0
+                while a < len(begin):
+                    to = max(a + 1, int(np.searchsorted(end, begin[a] + batch_bytes, "right")))
+                    rows += [(t + a, keys[i], *found) for t, i, *found in _search(data, begin[a:to], end[a:to], patterns, reach, least)]
+                    a = to
+                if len(sent) > 1:  # the next block takes its place
+                    vars(block).pop("_value", None)
+            if rows:
+                at, *columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array(columns[0]), pa.array(columns[1], pa.float64()),
+                     pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
+                    names=["doc", "key", "share", "first_byte", "last_byte"],
+                )
+
+    found = docs.mapInArrow(search, f"doc {kind}, key string, share double, first_byte bigint, last_byte bigint")
+    ids = known.select("key", "item").distinct()
+    return found.join(ids, "key").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "share", "first_byte", "last_byte")

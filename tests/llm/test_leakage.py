@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,6 +25,27 @@ def test_planted(spark):
     assert leaks(spark, docs, block_bytes=64) == leaks(spark, docs)
 
 
+@pytest.mark.parametrize("n", [1, 4, 40, 4000])
+def test_a_text_under_many_ids_gives_all_of_them(spark, n):
+    items = [(k, ITEM if k % 2 else ITEM.upper().replace(" ", "  ")) for k in range(n)]
+    for block_bytes in (64, 4_000_000):
+        assert leaks(spark, [(1, "x " + ITEM + " y"), (2, "other")], items, block_bytes=block_bytes) == {(1, k) for k in range(n)}
+
+
+def test_variants_of_one_text_are_all_found(spark):
+    names = ["Braehum", "Kalmost", "Verring", "Ollinda", "Tessamy", "Quorvan", "Hulbert", "Jannick"]
+    items = [(k, ITEM.replace("Braehum", name)) for k, name in enumerate(names)]
+    assert leaks(spark, [(1, ITEM)], items) == {(1, k) for k in range(len(names))}
+    assert leaks(spark, [(1, ITEM)], items, block_bytes=64, batch_bytes=1) == {(1, k) for k in range(len(names))}
+
+
+def test_half_in_a_part_that_other_items_share(spark):
+    tails = ["Neither Niagor nor Krizebril kept the Louskial keys.", "Some forty crates stood open near the eastern gate.", "Nobody asked who had paid for the new signal lamps.", "A clerk wrote the whole matter down in green ink."]
+    head = "Contract Jizesk obliges Trihayaend to answer Braehum callers within 85 minutes of each call. "
+    others = [(k + 10, f"Passage {k} of another book {k * k} speaks about quite other {'x' * k} matters.") for k in range(40)]
+    assert leaks(spark, [(1, head)], [*enumerate(head + t for t in tails), *others]) == {(1, k) for k in range(4)}
+
+
 def test_style_is_no_leak(spark):
     style = [(k, f"Every {n} log older than {k} days goes to the great hall, where {n} folders are kept for {n[::-1]}.") for k, n in enumerate(["Abcdef", "Ghijkl", "Mnopqr", "Stuvwx", "Yzabcd"])]
     assert leaks(spark, [(1, "Every Zzzzzz log older than 9 days goes to the great hall, where Zzzzzz folders are kept for Zzzzzz.")], style) == set()
@@ -38,7 +60,7 @@ def test_empty_tables(spark):
 def test_search_equals_brute_force(items, texts):
     m = 5
     items = list(dict.fromkeys(items))
-    p = Patterns([x.encode() for x in items], m, common=len(items))
+    p = Patterns([x.encode() for x in items], m)
     data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
     end = np.cumsum([len(t) for t in texts]).astype(np.int64)
     begin = end - np.array([len(t) for t in texts])
