@@ -10,26 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.functions.text import let
+
 # Full-width ASCII variants (U+FF01..U+FF5E) and the ideographic blank, folded to ASCII.
 WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 
-INVISIBLE = r"[\p{Cf}\p{Mn}&&[\p{Cf}\x{FE00}-\x{FE0F}]]"
-MINUS = r"(?<![\p{L}\p{N}])[-−](?=\p{N})"
-POINT = r"(?<=\p{N})\.(?=\p{N})"
-DROPPED = r"[^\p{L}\p{N}\p{M}\p{S}\x01\x02]|[=|<>`^~]"
+INVISIBLE = r"[\p{Cf}\x{FE00}-\x{FE0F}]"
+# What doesn't count: all but letters, digits, marks and symbols; but the point between digits does, and the hyphen
+# before a digit, unless a digit or a letter of a script that sets blanks stands before it.
+SPACED = r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]"
+DROPPED = rf"[^\p{{L}}\p{{N}}\p{{M}}\p{{S}}.-]|[=|<>`^~]|(?<!\p{{N}})\.|\.(?!\p{{N}})|-(?!\p{{N}})|(?<={SPACED})-"
 # A field begins with its name, one word, followed by a colon or an equals sign.
+NAME = r"""["']?[\p{L}_][\p{L}\p{N}_-]*["']?\s*[:=](?!//)"""
 FIELD = r"""["']?([\p{L}_][\p{L}\p{N}_-]*)["']?\s*[:=](?!//)"""
 
 
 def _folded(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.translate(text, WIDE, NARROW)), INVISIBLE, "")
+    return F.regexp_replace(F.lower(F.translate(text, WIDE + "−", NARROW + "-")), INVISIBLE, "")
 
 
 def _squeezed(text: Column) -> Column:
     """Only what counts as content: letters, digits, marks, symbols, minus signs and decimal points."""
-    text = F.regexp_replace(text, MINUS, "\x01")
-    text = F.regexp_replace(text, POINT, "\x02")
     return F.regexp_replace(text, DROPPED, "")
 
 
@@ -41,17 +43,20 @@ def canonical_text(text: Column) -> Column:
     word. Blanks, invisible characters, case and punctuation do not count; a decimal point between digits
     and a minus sign before a digit do.
     """
-    folded = _folded(text)
-    names = F.regexp_extract_all(folded, F.lit(FIELD), F.lit(1))
-    parts = F.split(folded, FIELD)
-    pairs = F.zip_with(
-        names,
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
-        lambda n, v: F.concat(_squeezed(n), F.lit("\x1f"), _squeezed(v)),
-    )
-    record = F.array_join(F.array_sort(pairs), "\x1e")
-    is_record = (F.size(names) >= 2) & (_squeezed(parts[0]) == "")
-    return F.when(is_record, F.concat(F.lit("\x1d"), record)).otherwise(_squeezed(folded))
+
+    def record(folded: Column) -> Column:
+        names = F.regexp_extract_all(folded, F.lit(FIELD), F.lit(1))
+        parts = F.split(folded, FIELD)
+        pairs = F.zip_with(
+            names,
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+            lambda n, v: F.concat(_squeezed(n), F.lit("\x1f"), _squeezed(v)),
+        )
+        return F.when(F.size(names) >= 2, F.concat(F.lit("\x1d"), F.array_join(F.array_sort(pairs), "\x1e"))).otherwise(_squeezed(folded))
+
+    # only a text that opens with a field is taken apart
+    opens = rf"^[^\p{{L}}\p{{N}}\p{{M}}_-]*?{NAME}"
+    return let(_folded(text), lambda folded: F.when(folded.rlike(opens), record(folded)).otherwise(_squeezed(folded)))
 
 
 def with_digest(df: DataFrame, columns: list[str], digest: str = "digest") -> DataFrame:

@@ -20,10 +20,17 @@ SAME = [
     ("title: A b; owner: C; pages: -1.5", '{"owner": "c", "pages": "-1.5", "title": "A B"}'),
     ("title=A | owner=B", "owner: b\ntitle: a"),
     ("ＡＢＣ１２", "abc12"),
+    ("偏差为−10.2秒", "偏差为 -10.2 秒。"),
+    ("Re-Check of covid-19, 3-5 days.", "re check of COVID 19 35 days"),
+    ("area=ops | pages=-3", '{\n "pages": "-3",\n "area": "ops"\n}'),
 ]
 OTHER = [
     ("moved by 13.3", "moved by 133"),
     ("moved by -13.3", "moved by 13.3"),
+    ("偏差为-10.2秒", "偏差为10.2秒"),
+    ("ずれは−10秒", "ずれは10秒"),
+    ("页数: -45; 状态: open", "页数: 45; 状态: open"),
+    ("-5 points", "5 points"),
     ("owner: A; reviewer: B", "owner: B; reviewer: A"),
     ("pages: 5; no: 6", "pages: 6; no: 5"),
 ]
