@@ -48,9 +48,12 @@ def _hashes(data: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 
 
 class Patterns:
-    """The windows of m bytes of a block of items, with the tables that find them; weights: one per byte of the items."""
+    """The windows of m bytes of a block of items, with the tables that find them; weights: one per byte of the items.
 
-    def __init__(self, items: list[bytes], m: int, weights: np.ndarray | None = None):
+    anchors: the windows that are sought, of all windows of the items one after the other; all, if not given.
+    """
+
+    def __init__(self, items: list[bytes], m: int, weights: np.ndarray | None = None, anchors: np.ndarray | None = None):
         self.m = m
         self.sizes = np.array([len(x) for x in items], dtype=np.int64)
         self.data = np.frombuffer(b"".join(items), dtype=np.uint8)
@@ -63,6 +66,14 @@ class Patterns:
         item = np.repeat(np.arange(len(items), dtype=np.int32), counts)
         offset = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         start = self.starts[item] + offset
+        self.spare = np.zeros(len(items))  # the weight of the bytes that no anchor of an item covers
+        if anchors is not None:
+            item, offset, start = item[anchors], offset[anchors], start[anchors]
+            edge = np.zeros(len(self.data) + 1, dtype=np.int32)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + m, -1)
+            bare = np.concatenate([[0.0], np.cumsum(np.where(np.cumsum(edge[:-1]) > 0, 0.0, self.weight))])
+            self.spare = bare[self.starts + self.sizes] - bare[self.starts]
         self.shift = np.full(1 << TABLE_BITS, m - BLOCK + 1, dtype=np.uint8 if m < 256 else np.int32)
         for j in range(m - BLOCK + 1):  # the last block, at distance 0, comes last and wins
             at = start + j
@@ -137,25 +148,50 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(values if values is not None else b"", dtype=np.uint8), offsets[:-1], offsets[1:]
 
 
+def _all_windows(data: np.ndarray, begin: int, end: int, patterns: Patterns, items: np.ndarray) -> Iterator[tuple]:
+    """(item, positions, offsets) of all windows of each of the items that the text at begin..end holds, ordered by position."""
+    m = patterns.m
+    at = np.arange(begin, end - m + 1)
+    hashes = _hashes(data, at, m)
+    for i in items.tolist():
+        own = patterns.starts[i] + np.arange(patterns.sizes[i] - m + 1)
+        mine = _hashes(patterns.data, own, m)
+        order = np.argsort(mine, kind="stable")
+        low, high = np.searchsorted(mine, hashes, "left", order), np.searchsorted(mine, hashes, "right", order)
+        hit = np.flatnonzero(high > low)
+        n = high[hit] - low[hit]
+        pos = np.repeat(at[hit], n)
+        offset = order[np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        same = np.ones(len(pos), dtype=bool)
+        for j in range(m):
+            same &= data[pos + j] == patterns.data[own[offset] + j]
+        yield i, pos[same], offset[same]
+
+
 def _search(data: np.ndarray, begin: np.ndarray, end: np.ndarray, patterns: Patterns, reach: float, least: float) -> Iterator[tuple]:
     """(text, item, share, first byte, last byte) of the items that the texts at begin..end hold enough of."""
     m = patterns.m
     where, window = patterns.occurrences(data, begin, end)
     if not len(where):
         return
-    text = np.searchsorted(end, where, "right")
-    item = patterns.item[window]
-    order = np.lexsort((where, item, text))
-    text, item, where, offset = text[order], item[order], where[order], patterns.offset[window][order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0)]))
-    n = np.diff(np.append(first, len(text)))
-    enough = n * m * patterns.heaviest[item[first]] >= least * patterns.whole[item[first]]  # so many windows could cover the share
-    for k, j in zip(first[enough], first[enough] + n[enough]):
-        t, i = int(text[k]), int(item[k])
-        weight = patterns.weight[patterns.starts[i] : patterns.starts[i] + patterns.sizes[i]]
-        share, start, stop = share_held(where[k:j], offset[k:j], m, weight, reach)
-        if share >= least:
-            yield t, i, share, start - int(begin[t]), stop - int(begin[t])
+    pair = np.searchsorted(end, where, "right") * len(patterns.sizes) + patterns.item[window]
+    pair, n = np.unique(pair, return_counts=True)
+    text, item = pair // len(patterns.sizes), pair % len(patterns.sizes)
+    # so many anchors, and all that no anchor covers, could make up the share
+    enough = n * m * patterns.heaviest[item] + patterns.spare[item] >= least * patterns.whole[item]
+    text, item = text[enough], item[enough]
+    for t, a, b in zip(*_runs(text)):
+        for i, pos, offset in _all_windows(data, int(begin[t]), int(end[t]), patterns, item[a:b]):
+            weight = patterns.weight[patterns.starts[i] : patterns.starts[i] + patterns.sizes[i]]
+            share, start, stop = share_held(pos, offset, m, weight, reach)
+            if share >= least:
+                yield int(t), i, share, start - int(begin[t]), stop - int(begin[t])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of the runs of an ordered array, and where each begins and ends."""
+    first = np.flatnonzero(np.concatenate([[True], np.diff(values) != 0])) if len(values) else np.empty(0, dtype=np.int64)
+    return values[first], first, np.append(first[1:], len(values))
 
 
 def _weighed(texts: DataFrame, m: int) -> DataFrame:
@@ -167,19 +203,23 @@ def _weighed(texts: DataFrame, m: int) -> DataFrame:
     return texts.join(held, "key").select("key", "folded", F.transform("held", lambda x: x["n"]).alias("held"))
 
 
-def _patterns(rows: list, m: int, n_texts: int) -> tuple[Patterns, list]:
+def _patterns(rows: list, m: int, n_texts: int, rare: int, least: float) -> tuple[Patterns, list]:
     """A block of items with a weight for each of their bytes, and the keys of the items.
 
     A window that one text alone holds weighs 1, one that all hold 0.05, by the logarithm of the number of its holders
-    between; a byte weighs as the lightest window over it.
+    between; a byte weighs as the lightest window over it. Anchors are the windows of up to ``rare`` holders, and all
+    windows of the items whose other windows could make up the share ``least`` on their own.
     """
-    weights = []
+    weights, anchors = [], []
     for r in rows:
         held = np.array(r["held"], dtype=np.float64)
         weight = np.maximum(0.05, 1 - np.log(held) / np.log(n_texts + 1)).astype(np.float32)
         padded = np.concatenate([np.full(m - 1, 2, dtype=np.float32), weight, np.full(m - 1, 2, dtype=np.float32)])
         weights.append(np.lib.stride_tricks.sliding_window_view(padded, m).min(axis=1))
-    return Patterns([bytes(r["folded"]) for r in rows], m, np.concatenate(weights)), [r["key"] for r in rows]
+        common = np.concatenate([np.zeros(m - 1, dtype=bool), held > rare, np.zeros(m - 1, dtype=bool)])
+        covered = np.lib.stride_tricks.sliding_window_view(common, m).any(axis=1)
+        anchors.append((held <= rare) | (weights[-1][covered].sum() >= least * weights[-1].sum()))
+    return Patterns([bytes(r["folded"]) for r in rows], m, np.concatenate(weights), np.concatenate(anchors)), [r["key"] for r in rows]
 
 
 def leaked_passages(
@@ -192,6 +232,7 @@ def leaked_passages(
     window: int = 15,
     least: float = 0.4,
     reach: float = 1.0,
+    rare: int = 3,
     block_bytes: int = 4_000_000,
     batch_bytes: int = 16_000_000,
 ) -> DataFrame:
@@ -204,8 +245,9 @@ def leaked_passages(
     windows of 7 bytes, and items without at least 8 bytes of letters or digits can't be told from chance and give no
     rows. All ids that hold the same text give rows. Null ids and null or empty texts on either side give no rows; a
     repeated document gives its rows once per repetition, a repeated item counts once. Very long documents are searched
-    whole. block_bytes bounds the patterns that a task holds, batch_bytes the documents it searches at once (a longer
-    one is searched alone); neither changes the result.
+    whole. Windows that more than ``rare`` items hold are not sought where the others suffice to find an item, but count
+    in its share. block_bytes bounds the patterns that a task holds, batch_bytes the documents it searches at once (a
+    longer one is searched alone). None of the three changes the result.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -232,7 +274,7 @@ def leaked_passages(
         for b in range(blocks):
             rows = weighed.where(F.col("b") == b).collect()
             if rows:
-                sent.append(spark.sparkContext.broadcast(_patterns(rows, m, some["n"])))
+                sent.append(spark.sparkContext.broadcast(_patterns(rows, m, some["n"], rare, least)))
     if not sent:
         return empty
 

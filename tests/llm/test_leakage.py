@@ -36,7 +36,8 @@ def test_variants_of_one_text_are_all_found(spark):
     names = ["Braehum", "Kalmost", "Verring", "Ollinda", "Tessamy", "Quorvan", "Hulbert", "Jannick"]
     items = [(k, ITEM.replace("Braehum", name)) for k, name in enumerate(names)]
     assert leaks(spark, [(1, ITEM)], items) == {(1, k) for k in range(len(names))}
-    assert leaks(spark, [(1, ITEM)], items, block_bytes=64, batch_bytes=1) == {(1, k) for k in range(len(names))}
+    for rare in (1, 3, 100):
+        assert leaks(spark, [(1, ITEM)], items, block_bytes=64, batch_bytes=1, rare=rare) == {(1, k) for k in range(len(names))}
 
 
 def test_half_in_a_part_that_other_items_share(spark):
