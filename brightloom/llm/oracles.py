@@ -46,6 +46,8 @@ def oracle_sql() -> dict[str, str]:
                    round(pow({_RATIO}, cell) * (2 * {_RATIO} / (1 + {_RATIO})), 6) as percentile
             from r cross join {_PROBABILITIES}
             where greatest(ceil(probability * total), 1) > upto - n and greatest(ceil(probability * total), 1) <= upto""",
+        "p5_rejoined": """
+            select doc_id, md5(any_value(content)) as digest, true as within_limit from kb_documents where length(content) > 1000 group by doc_id""",
         "p5_found": r"""
             select doc_id, max(cast(list_max(list_transform(regexp_split_to_array(content, '[\s\p{Z}\p{P}]'),
                                                             lambda x: length(x))) > 1000 as integer)) as forced

@@ -136,6 +136,15 @@ def p5_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kb_contents(spark, sf_dir).select("doc_id", "file_path", count.cast("int").alias("chunk_count"))
 
 
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round trip: the pieces of every document put together again without their overlaps."""
+    pieces = p5_pieces(spark, sf_dir)
+    own = F.struct("piece_no", F.substr("piece", F.col("overlap") + 1).alias("own"))
+    whole = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(own)).alias("parts"), F.max("n_chars").alias("longest"))
+    text = F.array_join(F.transform("parts", lambda p: p["own"]), "")
+    return whole.select("doc_id", F.md5(text).alias("digest"), (F.col("longest") <= LIMIT).alias("within_limit"))
+
+
 # ---------------------------------------------------------------- 6: percentiles
 
 

@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.functions.text import let
+
+#: Parts whose sizes are summed at once for the starts of the parts after them.
+BLOCK = 128
 EDGE = r"[\s\p{Z}\p{P}]"
 PARAGRAPH = r"(?:\r\n|\n|\r)[ \t]{0,2}(?:\r\n|\n|\r(?!\n))"
 LINE = r"(?:\r\n|\n|\r(?!\n))"
@@ -47,6 +51,13 @@ def parts_of(text: Column, limit: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(piece_pattern(limit, overlap)), F.lit(0))
 
 
+def _block_starts(sizes: Column) -> Column:
+    """The sum of the sizes before every BLOCK of them, so that a running sum takes no more than a block's steps an element."""
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(sizes) - 1, F.lit(0)) / BLOCK).cast("int"))
+    totals = F.transform(blocks, lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda total, n: total + n))
+    return F.aggregate(totals, F.array(F.lit(0)), lambda starts, n: F.array_append(starts, F.element_at(starts, -1) + n))
+
+
 def split_oversized(
     df: DataFrame, id_col: str, text_col: str, limit: int = 1000, overlap: int = 100
 ) -> DataFrame:
@@ -67,31 +78,29 @@ def split_oversized(
         .select("__id", parts_of(F.col("__text"), limit, overlap).alias("__parts"))
     )
 
-    def look_back(parts: Column) -> Column:
-        def one(part: Column, i: Column) -> Column:
-            before = F.concat(
-                F.when(i >= 2, F.get(parts, i - 2)).otherwise(""), F.when(i >= 1, F.get(parts, i - 1)).otherwise("")
-            )
-            wanted = F.least(F.lit(overlap), F.lit(limit) - F.length(part))
-            return F.struct(
-                part.alias("part"),
-                F.right(before, wanted).alias("lead"),
-                F.coalesce(F.get(parts, i + 1), F.lit("")).alias("next"),
-                F.get(parts, i + 1).isNull().alias("last"),
-            )
-
-        return F.transform(parts, one)
-
-    starts = F.aggregate(
-        F.transform("__parts", lambda p: F.length(p)),
-        F.array(F.lit(0)),
-        lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n),
-    )
+    def pieces(sizes: Column) -> Column:
+        """Each part with where it starts, what leads into it and what follows."""
+        return let(_block_starts(sizes), lambda before_block: F.transform("__parts", lambda part, i: one(part, i, sizes, before_block)))
+
+    def one(part: Column, i: Column, sizes: Column, before_block: Column) -> Column:
+        def at(j: Column) -> Column:
+            return F.coalesce(F.get("__parts", j), F.lit(""))
+
+        block = F.floor(i / BLOCK).cast("int")
+        in_block = F.aggregate(F.slice(sizes, block * BLOCK + 1, i - block * BLOCK), F.lit(0), lambda total, n: total + n)
+        wanted = F.least(F.lit(overlap), F.lit(limit) - F.length(part))
+        return F.struct(
+            part.alias("part"),
+            F.right(F.concat(at(i - 2), at(i - 1)), wanted).alias("lead"),
+            at(i + 1).alias("next"),
+            F.get("__parts", i + 1).isNull().alias("last"),
+            (F.get(before_block, block) + in_block).alias("start"),
+        )
+
     rows = cut_in.select(
         "__id",
         F.size("__parts").alias("piece_count"),
-        starts.alias("__starts"),
-        F.posexplode(look_back(F.col("__parts"))).alias("piece_no", "p"),
+        F.posexplode(let(F.transform("__parts", lambda p: F.length(p)), pieces)).alias("piece_no", "p"),
     )
     part, following = F.col("p.part"), F.col("p.next")
     inside = ~part.rlike(EDGE + r"\z") & ~following.rlike(r"\A" + EDGE)
@@ -109,7 +118,7 @@ def split_oversized(
     return rows.select(
         F.col("__id").alias(id_col),
         F.col("piece_no").cast("int").alias("piece_no"),
-        (F.get("__starts", F.col("piece_no")) - F.length("p.lead")).cast("bigint").alias("start_pos"),
+        (F.col("p.start") - F.length("p.lead")).cast("bigint").alias("start_pos"),
         piece.alias("piece"),
         F.length(piece).alias("n_chars"),
         F.length("p.lead").alias("overlap"),

@@ -1,9 +1,11 @@
 import re
+import time
 import unicodedata
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brightloom.llm.splitting import split_oversized
 
@@ -72,3 +74,20 @@ def test_any_text(spark, texts):
     got = pieces(spark, texts)
     for i, text in enumerate(texts):
         check(text, got[i])
+
+
+def test_time_grows_with_the_size_of_an_item(spark, tmp_path):
+    base = "One sentence stands here, and another follows it. 第一句话在这里，第二句也在。\n\n"
+    taken = []
+    for n in (100_000, 2_000_000, 4_000_000):
+        spark.range(1).select("id", F.substring(F.repeat(F.lit(base), n // 60), 1, n).alias("text")).write.parquet(f"{tmp_path}/{n}")
+        began = time.perf_counter()
+        out = split_oversized(spark.read.parquet(f"{tmp_path}/{n}"), "id", "text").agg(F.sum(F.col("n_chars") - F.col("overlap")), F.max("n_chars")).first()
+        taken.append(time.perf_counter() - began)
+        assert out[0] == n and out[1] <= 1000
+    assert taken[2] < 2 * taken[1] + 3
+
+
+def test_starts_over_many_blocks(spark):
+    text = "".join(f"{i:05d} " for i in range(3000))
+    check(text, pieces(spark, [text])[0])
