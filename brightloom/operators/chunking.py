@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.functions.text import sentences, strip
+from brightloom.functions.text import let, sentences, strip
 
 # Separators by kind of document, strongest first; fixed values.
 SEPARATORS = {
@@ -72,24 +72,48 @@ def chunk_stats(chunks: DataFrame, id_col: str) -> DataFrame:
     ).drop("s")
 
 
-def split_recursively(text: str, size: int, separators: list[str]) -> list[str]:
-    """Pieces joined greedily up to size; a piece that is too long is split by the separators after."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep, rest = separators[0], separators[1:]
-    out: list[str] = []
-    held = ""
-    for piece in text.split(sep) if sep else [text[i : i + size] for i in range(0, len(text), size)]:
-        joined = f"{held}{sep}{piece}" if held else piece
-        if len(joined) <= size:
-            held = joined
-            continue
-        if held:
-            out.append(held)
-        too_long = len(piece) > size and bool(rest)
-        out.extend(split_recursively(piece, size, rest) if too_long else [])
-        held = "" if too_long else piece
-    return [*out, held] if held else out
+def _pieces_at(separator: str, size: int) -> str:
+    """A pattern for the pieces of a text between separators: as many as fit in size together, else one that is too long.
+
+    Separators between pieces are skipped; the empty one cuts anywhere.
+    """
+    if not separator:
+        return rf"(?s)(.{{1,{size}}})"
+    end = rf"(?={re.escape(separator)}|\z)"
+    return rf"(?s)(?:{re.escape(separator)})*+(.{{1,{size}}}{end}|.+?{end})"
+
+
+def recursive_pieces(text: Column, size: int, separators: list[str]) -> Column:
+    """Array of the pieces of a text: by the strongest separator, and those that are still too long by the next.
+
+    One pass of the pattern engine per separator, over what is left too long; blank texts have none, a text that fits is one.
+    """
+
+    def divided(separator: str) -> Callable[[Column], Column]:
+        pattern = F.lit(_pieces_at(separator, size))
+        return lambda p: F.when(F.length(p) > size, F.regexp_extract_all(p, pattern, F.lit(1))).otherwise(F.array(p))
+
+    parts = F.when(F.length(strip(text)) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    for separator in separators:
+        parts = F.flatten(F.transform(parts, divided(separator)))
+    return parts
+
+
+def _merged(chunks: Column, smallest: int) -> Column:
+    """Chunks below smallest characters joined to the one before, each on a line of its own."""
+
+    def joined(all_chunks: Column) -> Column:
+        n = F.size(all_chunks)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        opens = F.filter(places, lambda i: (i == 0) | (F.length(F.get(all_chunks, i)) >= smallest))
+
+        def from_each(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(n))
+            return F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, b: F.array_join(F.slice(all_chunks, a + 1, b - a), "\n"))
+
+        return let(opens, from_each)
+
+    return let(chunks, joined)
 
 
 def recursive_chunks(
@@ -98,23 +122,7 @@ def recursive_chunks(
     """<id_col>, chunk_index, chunk: greedy pieces by the strongest separators that fit.
 
     A chunk below smallest characters joins the one before, on a line of its own. Null and blank texts give no
-    rows. Texts go through Arrow batches to the tasks; each is split whole.
+    rows; a text is split whole, by built-in functions alone.
     """
-    separators = SEPARATORS[kind]
-
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: _merged(split_recursively(t, size, separators), smallest) if t else [])
-
-    return _exploded(df, id_col, split(F.col(text_col)), "chunk")
-
-
-def _merged(chunks: list[str], smallest: int) -> list[str]:
-    out: list[str] = []
-    for c in chunks:
-        if out and len(c) < smallest:
-            out[-1] += "\n" + c
-        else:
-            out.append(c)
-    return out
+    pieces = recursive_pieces(F.col(text_col), size, SEPARATORS[kind])
+    return _exploded(df, id_col, _merged(F.filter(pieces, lambda p: F.length(p) > 0), smallest), "chunk")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -85,13 +85,24 @@ def test_dedup_hits_with_ties_and_nulls(spark):
     assert sorted(r["id"] for r in search.dedup_hits(df, "t", "s", "id").collect()) == [2, 4, 6]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text("ab .\n。", max_size=200), st.integers(5, 40))
-def test_recursive_split_loses_nothing_visible(value, size):
-    got = chunking.split_recursively(value, size, chunking.SEPARATORS["text"])
-    assert all(len(c) <= size for c in got)
-    # only separators between chunks go
-    assert "".join(c for c in "".join(got) if c in "ab") == "".join(c for c in value if c in "ab")
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text("ab .\n。", max_size=200), min_size=1, max_size=40), st.integers(5, 40))
+def test_recursive_split_loses_nothing_visible(spark, texts, size):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = df.select("id", chunking.recursive_pieces(F.col("t"), size, chunking.SEPARATORS["text"])).collect()
+    for i, got in rows:
+        assert all(len(c) <= size for c in got)
+        # only separators between chunks go
+        assert "".join(c for c in "".join(got) if c in "ab") == "".join(c for c in texts[i] if c in "ab")
+
+
+def test_recursive_split_takes_the_strongest_separator_that_fits(spark):
+    text = "Alpha beta. Gamma delta.\n\nOne two three. Four five.\n\n" + "x" * 45 + "\n\nEnd."
+    df = spark.createDataFrame([(1, text), (2, "short one"), (3, " \n "), (4, None), (5, "")], "id int, t string")
+    got = {r["id"]: r["p"] for r in df.select("id", chunking.recursive_pieces(F.col("t"), 30, chunking.SEPARATORS["text"]).alias("p")).collect()}
+    assert got == {1: ["Alpha beta. Gamma delta.", "One two three. Four five.", "x" * 30, "x" * 15, "End."], 2: ["short one"], 3: [], 4: [], 5: []}
+    merged = chunking.recursive_chunks(df, "id", "t", 30, 16).where("id = 1").orderBy("chunk_index").collect()
+    assert [r["chunk"] for r in merged] == ["Alpha beta. Gamma delta.", "One two three. Four five.", "x" * 30 + "\n" + "x" * 15 + "\nEnd."]
 
 
 def test_chunks(spark):
@@ -244,6 +255,26 @@ def test_summary(spark):
     best = summary.heuristic_summary(df, "id", "t").orderBy("sentence_no").collect()
     assert [r["sentence_no"] for r in best][:1] == [0] and len(best) == 3 and best[0]["score"] == 3 * 2 + 2 + 1 + 1.5 + 2
     assert summary.ranked_summary(df, "id", "t", most=2).count() >= 2
+    assert summary.ranked_summary(df, "id", "t", by="terms").count() >= 2
+
+
+def test_terms_equal_a_dense_matrix():
+    texts = ["The cat sat on the mat.", "The cat sat there.", "A dog, a cat.", "...", "the mat the cat"]
+    graph = summary._Terms(texts)
+    terms = [[*w, *map(" ".join, zip(w, w[1:]))] for w in (re.findall("[a-z]+", t.lower()) for t in texts)]
+    names = sorted({x for t in terms for x in t})
+    held = np.array([sum(n in t for t in terms) for n in names])
+    x = np.array([[t.count(n) for n in names] for t in terms]) * (np.log((1 + len(texts)) / (1 + held)) + 1)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sim = x @ x.T
+    np.fill_diagonal(sim, 0)
+    y = np.array([1.0, -2.0, 0.5, 3.0, 1.5])
+    assert np.allclose(graph.times(y), sim @ y) and all(np.allclose(graph.row(i), sim[i]) for i in range(5))
+    degree = sim.sum(axis=1)
+    degree[degree == 0] = 1
+    walk = np.linalg.solve(np.eye(5) - 0.85 * sim / degree, np.full(5, 0.03))
+    assert np.allclose(summary._walk_scores(graph, 0.85), walk)
+    assert summary.ranked_sentences(["..."], 3, by="terms") == [0] and summary.ranked_sentences([], 3, by="terms") == []
 
 
 def plainly_ranked(texts, n):
