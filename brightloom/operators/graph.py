@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.runtime import cut
+from brightloom.runtime import cut, looked_up
 
 
 def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 50) -> DataFrame:
@@ -40,32 +40,30 @@ def neighbourhood(edges: DataFrame, names: DataFrame, name: str) -> DataFrame:
     return at_source.unionByName(at_target).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, component: connected components, named by their smallest node.
 
     Every round moves each node to the smallest label around it and then to that label's own label, so that a path
-    of n nodes takes about log n rounds; lineage is cut each round. Loops and repeated edges don't matter; null ends
-    are left out.
+    of n nodes takes about log n rounds; lineage is cut each round. Labels that not even ``rounds`` rounds settle raise an
+    error. A node of very many edges, or the label of a giant component, is no hot key: see ``looked_up``. Loops and
+    repeated edges don't matter; null ends are left out.
     """
     both = edges.where("source is not null and target is not null").select("source", "target")
     both = cut(both.unionByName(both.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
     labels = cut(both.select(F.col("source").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(rounds):
-        around = both.join(labels, both["target"] == labels["node"]).groupBy("source").agg(F.min("component").alias("near"))
-        moved = labels.alias("l").join(around.alias("a"), F.col("l.node") == F.col("a.source"), "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")
-        )
-        jump = moved.select(F.col("node").alias("at"), F.col("component").alias("next"))
-        stepped = cut(
-            moved.join(jump, moved["component"] == jump["at"], "left").select(
-                "node", "old", F.least("component", F.coalesce("next", "component")).alias("component")
+        around = looked_up(both, "target", labels.withColumnRenamed("node", "target")).groupBy("source").agg(F.min("component").alias("near"))
+        moved = cut(
+            labels.alias("l").join(around.alias("a"), F.col("l.node") == F.col("a.source"), "left").select(
+                "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")
             )
         )
-        changed = stepped.where("old != component").limit(1).count()
+        jump = moved.select(F.col("node").alias("__at"), F.col("component").alias("next")).withColumnRenamed("__at", "component")
+        stepped = cut(looked_up(moved, "component", jump).select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component")))
         labels = stepped.select("node", "component")
-        if not changed:
-            break
-    return labels
+        if not stepped.where("old != component").limit(1).count():
+            return labels
+    raise RuntimeError(f"the components have not settled in {rounds} rounds")
 
 
 def top_entities(df: DataFrame, query: str, query_text: str, names: DataFrame, name: str, k: int = 10) -> DataFrame:

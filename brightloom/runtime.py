@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,12 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in spark.checkpoint.dir; set one only where there is none."""
+    """Keep the folder the cluster names in spark.checkpoint.dir; set one only where there is none, and only on one machine.
+
+    The folder made for a local session goes when Python ends. On a cluster a folder of one machine would be of no use to
+    the others, so there it is an error to name none. Checkpoints go with their tables if the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,3 +47,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def looked_up(df: DataFrame, key: str, unique: DataFrame, share: int = 1000) -> DataFrame:
+    """df left-joined by ``key`` to a table with one row a key, whatever part of df's rows one key holds.
+
+    Keys that more than one in ``share`` of df's rows hold are fewer than ``share``, at any size, so that their rows of the
+    unique table are broadcast; the others are joined by a shuffle that no hot key can unbalance. df is read three times, so
+    it should be a table or cut. Null keys stay, without a match.
+    """
+    total = df.count()
+    hot = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share > total).select(key)
+    known = F.broadcast(hot.join(unique, key, "left"))
+    cold = df.join(F.broadcast(hot), key, "left_anti").join(unique, key, "left")
+    return df.join(known, key).unionByName(cold)

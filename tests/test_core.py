@@ -14,6 +14,7 @@ from brightloom.functions import text as T
 from brightloom.functions import vectors as V
 from brightloom.operators import chunking, conversation, graph, meetings, retrieval, search, summary, tables
 from brightloom.plans.registry import Entry, Registry, check_columns, pipeline, refine
+from brightloom.runtime import ensure_checkpoint_dir, looked_up
 from brightloom.sources import files
 from brightloom.streaming import events as streams
 
@@ -65,8 +66,10 @@ def test_vectors(spark):
     assert got[0][4] == [0.6, 0.8] and got[1][4] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
-def test_top_k_equals_brute_force(spark, metric):
+@pytest.mark.parametrize("metric,block", [("cosine", 4096), ("dot", 4096), ("euclidean", 4096), ("cosine", 2), ("dot", 1)])
+def test_top_k_equals_brute_force(spark, metric, block, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "ROWS", 32_768 if block > 2 else 13)
     rng = np.random.default_rng(42)
     x = rng.normal(size=(60, 8)).round(1)
     x[9] = 0
@@ -230,6 +233,33 @@ def test_components_equal_brute_force(spark):
     assert got == {n: min(g) for g in groups.values() for n in g}
 
 
+def test_a_hub_and_a_giant_component(spark):
+    edges = [("hub", f"n{i:04d}") for i in range(3000)] + [(f"n{i:04d}", f"o{i:04d}") for i in range(3000)]
+    got = graph.components(spark.createDataFrame(edges, "source string, target string"))
+    assert got.count() == 6001 and got.select("component").distinct().collect() == [("hub",)]
+    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)], "source string, target string")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
+
+
+def test_looked_up_with_hot_missing_and_null_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else "lost" if i % 3 == 1 else None if i % 2 else f"k{i}") for i in range(600)], "i int, k string")
+    unique = spark.createDataFrame([("hot", 1), ("k2", 2), ("other", 3)], "k string, v int")
+    got = looked_up(rows, "k", unique, 10)
+    want = {(r["i"], r["k"], r["v"]) for r in rows.join(unique, "k", "left").collect()}
+    assert {(r["i"], r["k"], r["v"]) for r in got.collect()} == want and got.count() == 600
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "yarn"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+        getConf = lambda self: {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(type("Session", (), {"sparkContext": Context(), "conf": {}})())
+
+
 def test_graph(spark):
     units = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (1, "c"), (2, "b"), (2, "a"), (3, "z"), (None, "q")], "u int, e string")
     assert {tuple(r) for r in graph.co_occurrence(units, "u", "e").collect()} == {("a", "b", 2), ("a", "c", 1), ("b", "c", 1)}
