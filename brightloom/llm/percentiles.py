@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.runtime import cut
+from brightloom.runtime import cut, looked_up
 
 #: Interval tables of up to so many rows (some 100 bytes each) are sent to every task; larger ones are joined.
 BROADCAST_ROWS = 200_000
@@ -31,10 +31,19 @@ def measured(df: DataFrame, id_col: str, value: str) -> DataFrame:
     )
 
 
+def _scale(x: Column) -> Column:
+    """An even scale for values of all sizes: logarithms on either side of zero, above those of the smallest double."""
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 746))
+
+
 def _slot(x: Column, low: Column, high: Column, cuts: int) -> Column:
-    """Number of the part of [low, high] that x is in; parts grow with the value where the interval is wide."""
-    wide = (low > 0) & (high > low * 4)
-    share = F.when(wide, (F.ln(x) - F.ln(low)) / (F.ln(high) - F.ln(low))).otherwise((x - low) / (high - low))
+    """Number of the part of [low, high] that x is in; parts grow with the value where the interval is wide.
+
+    The ends are never in the same part, and no interval of finite doubles needs more than some ten passes.
+    """
+    wide = ((low <= 0) & (high >= 0)) | (F.greatest(F.abs(low), F.abs(high)) / 4 > F.least(F.abs(low), F.abs(high)))
+    even = (x / 2 - low / 2) / (high / 2 - low / 2)
+    share = F.when(wide, (_scale(x) - _scale(low)) / (_scale(high) - _scale(low))).otherwise(even)
     return F.least(F.greatest(F.floor(share * cuts), F.lit(0)), F.lit(cuts - 1)).cast("int")
 
 
@@ -49,16 +58,17 @@ def bisect_percentiles(
 ) -> DataFrame:
     """Exact percentiles per group: <groups>, probability, n_values, percentile.
 
-    A percentile lies at position p * (n - 1) of the ordered values, between two of them in proportion. Null
-    and NaN values don't count; a group key may be null and is then a group of its own; a group without any
+    A percentile lies at position p * (n - 1) of the ordered values, between two of them in proportion. Null,
+    NaN and infinite values don't count; a group key may be null and is then a group of its own; a group without any
     value gives no row; an empty table gives no rows. cuts is the number of parts an interval is cut into in
     a pass (255 midpoints, 8 bisections at once); an interval of at most small rows is ordered in place. No
-    group is gathered in one task: a pass counts with partial aggregation, however large the group.
+    group is gathered in one task: a pass counts with partial aggregation, however large the group. Ranks that are
+    still open after so many passes raise an error.
     """
     keys = [f"__g{i}" for i in range(len(groups))]
     rows = df.select(
         *[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).cast("double").alias("__x")
-    ).where("__x is not null and not isnan(__x)")
+    ).where((F.abs("__x") < F.lit(float("inf"))))  # neither null nor NaN nor infinite
     if not keys:
         rows, keys = rows.withColumn("__g0", F.lit(0)), ["__g0"]
     rows = cut(rows)
@@ -89,6 +99,8 @@ def bisect_percentiles(
             break
         rows = cut(rows)
         live = cut(_narrowed(rows, live, keys, cuts))
+    else:
+        raise RuntimeError(f"ranks are still open after {passes} passes")
     found = cut(found)
     return _read_off(ranges, found, keys, groups, probabilities)
 
@@ -114,12 +126,12 @@ def _inside(rows: DataFrame, live: DataFrame, keys: list[str], n_live: int) -> D
     """The rows within a live interval of their group, with it; the intervals of a group don't overlap."""
     spans = live.groupBy(*keys).agg(F.collect_list(F.struct("__low", "__high")).alias("__spans"))
     if n_live <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    kept = rows.select(*keys, "__x").alias("r").join(spans.alias("s"), _same_alias(keys), "inner").select(
-        *[F.col(f"r.{k}").alias(k) for k in keys],
-        F.col("r.__x").alias("__x"),
-        F.get(F.filter("s.__spans", lambda s: F.col("r.__x").between(s["__low"], s["__high"])), F.lit(0)).alias("__span"),
-    )
+        near = rows.select(*keys, "__x").alias("r").join(F.broadcast(spans).alias("s"), _same_alias(keys), "inner")
+        near = near.select(*[F.col(f"r.{k}").alias(k) for k in keys], "r.__x", "s.__spans")
+    else:  # by one key that is never null, those of large groups apart
+        key = F.to_json(F.struct(*keys)).alias("__key")
+        near = looked_up(rows.select(key, *keys, "__x"), "__key", spans.select(key, "__spans")).where("__spans is not null")
+    kept = near.select(*keys, "__x", F.get(F.filter("__spans", lambda s: F.col("__x").between(s["__low"], s["__high"])), F.lit(0)).alias("__span"))
     return kept.where("__span is not null").select(*keys, "__x", "__span.__low", "__span.__high")
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from brightloom.llm import percentiles
 from brightloom.llm.percentiles import bisect_percentiles, measured, percentiles_of_counts, rank_counts
 
 P = [0.0, 0.5, 0.9, 0.99, 1.0]
@@ -53,3 +54,24 @@ def test_counts_combine_within_the_error(spark):
     for r in percentiles_of_counts(both, ["g"], [0.1, 0.5, 0.99], 0.01).collect():
         true = np.sort(x)[int(np.ceil(r["probability"] * len(x))) - 1]
         assert abs(r["percentile"] / true - 1) <= 0.0101 and r["n_values"] == len(x)
+
+
+def test_extreme_and_infinite_values(spark):
+    rng = np.random.default_rng(8)
+    values = [("wide", float(s * 10.0**e)) for s, e in zip(rng.choice([-1, 1], 500), rng.uniform(-300, 307, 500))] + [("wide", v) for v in (0.0, 5e-324, 1.7e308, -1.7e308)]
+    values += [("near", 1.0 + k * 2.0**-52) for k in range(200)] + [("inf", float("inf")), ("inf", float("-inf")), ("inf", 3.0), ("all", float("inf"))]
+    e, g = expected([(k, v) for k, v in values if abs(v) < float("inf")]), got(spark, values, small=1)
+    assert e.keys() == g.keys() and all(np.allclose(e[k], g[k], rtol=1e-12) for k in e)
+
+
+def test_interval_tables_beyond_the_bound_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = [("hot" if i % 3 else None if i % 7 == 0 else f"g{i % 11}", float(x)) for i, x in enumerate(rng.lognormal(3, 2, 1500))]
+    want = got(spark, values, small=1)
+    monkeypatch.setattr(percentiles, "BROADCAST_ROWS", 0)
+    assert got(spark, values, small=1) == want
+
+
+def test_open_ranks_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        got(spark, [("a", float(i)) for i in range(500)], cuts=2, small=1, passes=2)
