@@ -1,11 +1,12 @@
 """Problem 9: sentence units of documents in any of many languages and scripts.
 
-Every gap between two visible characters where a sentence may end is a place to tag as boundary or inside; all
-other characters are inside. The tags of a document are decoded together by Viterbi over a linear chain, whose
-weights are a structured perceptron's, trained here on a bounded sample of documents. Its teacher tags the places
-that punctuation, layout and case make plain; for scripts without blanks between words the sample is added once
-more with its end marks turned into blanks and its other marks taken out, so that the model learns to go by
-blanks and line breaks alone. Decoding runs inside the tasks, document by document.
+Characters are tagged as the start of a sentence or as inside one: those after a gap that marks, blanks or line ends
+make, and in unpunctuated text of a script without blanks every character. All others are inside. The tags of a document
+are decoded together by Viterbi over a linear chain, whose weights are an averaged structured perceptron's, trained here
+on a bounded sample of documents. Their tags come from where punctuation, layout and case are plain; texts of scripts
+without blanks are added once more with their marks taken out, where the tags are the places the end marks had. What the
+model weighs are parts of what is seen at a place, none of which tells the tag alone. Which words are abbreviations is
+counted over all documents. Decoding runs inside the tasks, document by document.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.runtime import cut
+
 # Marks, and abbreviations of the languages in scope (lower case, without their last point).
 MARKS = ".!?…。！？｡।॥؟۔"
 CLOSERS = "\"'”’»›」』）)\\]】》〉｣］"
@@ -45,9 +48,11 @@ GAP = re.compile(
 NO_BLANKS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 END_MARK = re.compile(r"[!?…。！？｡।॥؟۔]|\.(?!\w)")
 PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "《": "》", "【": "】", "[": "]", '"': '"'}
+STRIPPED = re.compile(rf"(?P<end>[{MARKS}]+[{CLOSERS}]*)(?P<gap>\s*)|(?P<mark>[，、；：,;:“”‘’「」『』（）()《》\"])|.", re.S)
 SMILE = re.compile(rf"[{EMOJI}]")
 QUOTE = re.compile(r"[“”„«»‹›「」『』（）()《》【】\[\]\"]")
 TOKEN = re.compile(r"(?:[\w.'’-]|[̀-ͯऀ-෿])*(?:\w|[̀-ͯऀ-෿])$")
+TOUCHING = re.compile(r"\S(?=(\S))")
 BREAK = re.compile(r"[\n\r][^\S\n\r]*[\n\r]")
 
 
@@ -105,8 +110,8 @@ def _before(text: str, at: int, known: set[str]) -> str:
 
 
 def places(text: str, known: set[str] = frozenset()) -> list[tuple[int, tuple]]:
-    """(start of what follows, signature) of every gap at which a sentence may end, in order."""
-    out = []
+    """(start of what follows, signature) of every character that may start a sentence, in order."""
+    out: list[tuple[int, tuple]] = []
     blocks = [0, *[m.end() for m in BREAK.finditer(text)], len(text)]
     block = -1
     unmarked = item = heading = False
@@ -139,6 +144,8 @@ def places(text: str, known: set[str] = frozenset()) -> list[tuple[int, tuple]]:
             block += 1
             body = text[blocks[block] : blocks[block + 1]]
             unmarked = not END_MARK.search(body) and len(NO_BLANKS.findall(body)) * 3 > len(body.strip())
+            if unmarked:
+                out += [(blocks[block] + c.start() + 1, ("char", c[0], c[1])) for c in TOUCHING.finditer(body)]
             opened.clear()
             scanned, item = blocks[block], False
             read_line(blocks[block], True)
@@ -181,12 +188,14 @@ def places(text: str, known: set[str] = frozenset()) -> list[tuple[int, tuple]]:
         inside = "item" if item else "heading" if heading else "text"
         out.append((start, (what, shape, kind, before, line, inside, depth, speech, unmarked, ending)))
         if broken:
-            read_line(start, teach(out[-1][1]))
-    return out
+            read_line(start, what != "none" and kind != "lower" and not depth)
+    return sorted(out, key=lambda place: place[0])
 
 
 def teach(signature: tuple) -> bool:
-    """Whether a place is a boundary, where punctuation, layout and case make it plain."""
+    """Whether a place is a boundary, where punctuation, layout and case make it plain; the tags of training texts."""
+    if signature[0] == "char":
+        return False
     what, shape, kind, before, line, inside, depth, speech, unmarked, ending = signature
     if shape == "nn" or line != "text":
         return True
@@ -216,23 +225,29 @@ def teach(signature: tuple) -> bool:
 
 
 def features(signature: tuple) -> list[tuple]:
+    """Parts of what is seen at a place."""
+    if signature[0] == "char":
+        _, left, right = signature
+        return [("char",), ("left", left), ("right", right)]
     what, shape, kind, before, line, inside, depth, speech, unmarked, ending = signature
+    marked = what != "none"
     return [
-        signature, ("whk", what, shape, kind), ("wbk", what, before, kind), ("d", depth, speech),
-        ("l", shape, line, inside), ("u", unmarked, shape, inside), ("w", what, kind, ending), ("bias",),
+        ("bias", inside, unmarked), ("mark", what, shape, inside), ("kind", what, kind, shape, inside), ("word", before, kind), ("word before", what, before, inside),
+        ("held", depth, inside), ("said", speech), ("layout", shape, line, inside), ("line", line), ("open", unmarked, shape, marked), ("ending", what, kind, ending),
+        ("item", inside, marked, kind == "lower", depth, shape),
     ]
 
 
 def decode(signatures: list[tuple], weights: dict) -> list[bool]:
     """The best tags of a document's places by Viterbi: emissions of each place, transitions between tags."""
-    keep, same = weights.get(("t", False, False), 0.0), weights.get(("t", True, True), 0.0)
-    open_, close = weights.get(("t", False, True), 0.0), weights.get(("t", True, False), 0.0)
-    inside, boundary, back = 0.0, 0.0, []
+    moves = {c: [weights.get(("t", a, b, c), 0.0) for a in (False, True) for b in (False, True)] for c in (False, True)}
+    inside, boundary, back = 0.0, float("-inf"), []  # before the first place stands no boundary
     memo = weights.setdefault("memo", {})
     for s in signatures:
         score = memo.get(s)
         if score is None:
             score = memo[s] = sum(weights.get(f, 0.0) for f in features(s))
+        keep, open_, close, same = moves[s[0] == "char"]
         from_inside = inside + open_ >= boundary + same
         stay = inside + keep >= boundary + close
         back.append((not stay, not from_inside))
@@ -244,50 +259,91 @@ def decode(signatures: list[tuple], weights: dict) -> list[bool]:
     return tags[::-1]
 
 
-def unpunctuated(text: str) -> str:
-    """Running text of a script without blanks, its end marks turned into blanks and its other marks taken out."""
-    text = re.sub(rf"[{MARKS}]+[{CLOSERS}]*\s*", " ", text)
-    return re.sub(r"[，、；：,;:“”‘’「」『』（）()《》\"]", "", text)
-
-
-def train(texts: list[str], epochs: int = 30) -> tuple[dict, set[str]]:
-    """Weights of an averaged structured perceptron, and the abbreviations found in the texts."""
-    points: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for text in texts:
-        for m in re.finditer(r"(\w{2,8})\.\s+(\w)", text):
-            seen = points[m[1].lower()]
-            seen[0] += 1
-            seen[1] += m[2].islower() or m[2].isdigit()
-    known = {w for w, (n, small) in points.items() if n >= 5 and small >= 0.5 * n and not w.isdigit()}
-    documents = []
-    for text in texts:
-        documents.append([s for _, s in places(text, known)])
-        if len(NO_BLANKS.findall(text)) * 3 > len(text):
-            documents.append([s for _, s in places(unpunctuated(text), known)])
-    documents = [d for d in documents if d]
+def unpunctuated(text: str) -> tuple[str, set[int]]:
+    """Text of a script without blanks without its marks, and where in it something stands after an end mark taken out.
+
+    An end mark leaves a blank, a line end stays.
+    """
+    out, ends, size, ended = [], set(), 0, False
+    for m in STRIPPED.finditer(text):
+        if m["end"] is not None:
+            ended = True
+            kept = "\n" if "\n" in m["gap"] else " "
+        elif m["mark"] is not None:
+            continue
+        else:
+            kept = m[0]
+            if ended and not kept.isspace():
+                ends.add(size)
+                ended = False
+        out.append(kept)
+        size += len(kept)
+    return "".join(out), ends
+
+
+def tagged(text: str, known: set[str]) -> Iterator[tuple[list[tuple], list[bool]]]:
+    """Signatures and tags to train on: of a text, and of the same without its marks in a script without blanks."""
+    found = [s for _, s in places(text, known)]
+    yield found, [teach(s) for s in found]
+    if len(NO_BLANKS.findall(text)) * 3 > len(text):
+        # paragraphs that had no marks to begin with tell nothing about where they stood
+        bare, ends = unpunctuated("\n\n".join(p for p in BREAK.split(text) if END_MARK.search(p)))
+        found = places(bare, known)
+        yield [s for _, s in found], [_was_end(s, at in ends) for at, s in found]
+
+
+def _was_end(signature: tuple, ended: bool) -> bool:
+    """The tag of a place of a text without its marks; a heading or a list item is a unit, with marks or without."""
+    if signature[0] == "char":
+        return ended
+    _, shape, _, _, line, inside, *_ = signature
+    return shape == "nn" or line != "text" or inside == "heading" and shape == "n" or inside == "text" and ended
+
+
+def train(texts: list[str], known: set[str] = frozenset(), epochs: int = 20) -> dict:
+    """Weights of a structured perceptron, averaged over the second half of its epochs."""
+    documents = [(s, t) for text in texts for s, t in tagged(text, known) if s]
     weights: dict = defaultdict(float)
     total: dict = defaultdict(float)
     step = 1
-    for _ in range(epochs):
+    for epoch in range(epochs):
         wrong = 0
-        for signatures in documents:
-            truth = [teach(s) for s in signatures]
-            weights["memo"] = {}
+        if epoch == epochs // 2:
+            total, step = defaultdict(float), 1
+        for signatures, truth in documents:
             guess = decode(signatures, weights)
-            weights.pop("memo")
             if guess != truth:
                 wrong += 1
+                weights.pop("memo")  # of the weights as they were
                 for tags, sign in ((truth, 1.0), (guess, -1.0)):
                     last = False
                     for s, tag in zip(signatures, tags):
-                        for f in [*(features(s) if tag else []), ("t", last, tag)]:
+                        for f in [*(features(s) if tag else []), ("t", last, tag, s[0] == "char")]:
                             weights[f] += sign
                             total[f] += sign * step
                         last = tag
             step += 1
         if not wrong:  # every tag of the sample is right: these weights, not their average
-            return dict(weights), known
-    return {f: w - total[f] / step for f, w in weights.items()}, known
+            weights.pop("memo", None)
+            return dict(weights)
+    weights.pop("memo", None)
+    return {f: w - total[f] / step for f, w in weights.items()}
+
+
+def abbreviations(df: DataFrame, text_col: str, least: int = 5, share: float = 1e-4) -> set[str]:
+    """Words with a full stop that, over all texts, at least half of the time go on with a small letter or a digit.
+
+    Counted in Spark with partial aggregation; only words that make up ``share`` of all those seen are kept, so that no
+    more than 1 / share words come to the driver.
+    """
+    stops = F.explode(F.regexp_extract_all(text_col, F.lit(r"(?U)\b\w{2,8}\.\s+\w"), F.lit(0))).alias("m")
+    seen = df.where(F.contains(F.col(text_col), F.lit(". "))).select(stops).select(
+        F.lower(F.regexp_extract("m", r"(?U)^(\w+)\.", 1)).alias("word"), F.col("m").rlike(r"[\p{Ll}\p{Nd}]$").cast("int").alias("small")
+    )
+    counted = seen.where("word not rlike '^[0-9]+$'").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("small").alias("small"))
+    counted = cut(counted.where(F.col("n") >= least))
+    all_seen = counted.agg(F.sum("n").alias("all_seen"))
+    return {r["word"] for r in counted.where("small * 2 >= n").join(F.broadcast(all_seen)).where(F.col("n") >= F.col("all_seen") * share).collect()}
 
 
 def starts(text: str, weights: dict, known: set[str]) -> list[int]:
@@ -300,10 +356,10 @@ def starts(text: str, weights: dict, known: set[str]) -> list[int]:
     return [first, *[at for (at, _), tag in zip(found, tags) if tag]]
 
 
-def sample_of(df: DataFrame, id_col: str, text_col: str, size: int, longest: int = 20_000) -> list[str]:
-    """At most size texts to train on, chosen by a hash of their id, each of at most longest characters."""
+def sample_of(df: DataFrame, id_col: str, text_col: str, size: int) -> list[str]:
+    """At most size texts to train on, chosen by a hash of their id, whatever their length."""
     chosen = (
-        df.where((F.length(text_col) > 0) & (F.length(text_col) <= longest))
+        df.where(F.length(text_col) > 0)
         .select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("t"))
         .orderBy("h", "t")
         .limit(size)
@@ -321,8 +377,8 @@ def sentence_units(
     Texts that are null, empty or blank give no rows; repeated rows give theirs each time; a text is read
     whole, whatever its length. sample_size bounds the documents that the model is trained on.
     """
-    texts = sample_of(df, id_col, text_col, sample_size)
-    sent = df.sparkSession.sparkContext.broadcast(train(texts))
+    known = abbreviations(df, text_col)
+    sent = df.sparkSession.sparkContext.broadcast((train(sample_of(df, id_col, text_col, sample_size), known), known))
 
     @F.pandas_udf("array<struct<start_pos: bigint, sentence: string>>")
     def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -23,7 +23,7 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def model():
-    return S.train(["".join(c) for c in CASES] * 3)
+    return S.train(["".join(c) for c in CASES] * 3), set()
 
 
 @pytest.mark.parametrize("parts", CASES, ids=lambda p: p[0][:18])
@@ -45,13 +45,13 @@ def test_viterbi_equals_brute_force():
     import itertools
 
     signatures = [s for _, s in S.places("One. two Three. Four! five. Six", set())]
-    weights = {("t", False, True): -0.3, ("t", True, True): 0.9, ("t", True, False): -0.2, ("bias",): 0.1}
+    weights = {("t", False, True, False): -0.3, ("t", True, True, False): 0.9, ("t", True, False, False): -0.2}
     weights |= {f: (hash(str(f)) % 100) / 50 - 1 for s in signatures for f in S.features(s)}
 
     def score(tags):
         last, total = False, 0.0
         for s, t in zip(signatures, tags):
-            total += weights.get(("t", last, t), 0) + (sum(weights.get(f, 0) for f in S.features(s)) if t else 0)
+            total += weights.get(("t", last, t, False), 0) + (sum(weights.get(f, 0) for f in S.features(s)) if t else 0)
             last = t
         return total
 
@@ -65,3 +65,27 @@ def test_operator(spark):
     got = sorted((r["doc_id"], r["sentence_no"], r["start_pos"]) for r in S.sentence_units(df, "doc_id", "text").collect())
     assert got == [(1, 1, 3), (1, 1, 3), (1, 2, 14), (1, 2, 14), (5, 1, 0), (5, 2, 50_002)]
     assert S.sentence_units(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_marks_taken_out_are_the_tags():
+    text = "索引任务压缩了切片。缓存已清空！\n“已经恢复。可以上线。”\n\n没有标点 的一段"
+    bare, ends = S.unpunctuated(text)
+    assert bare.startswith("索引任务压缩了切片 缓存已清空\n已经恢复 可以上线") and [bare[i : i + 2] for i in sorted(ends)] == ["缓存", "已经", "可以", "没有"]
+    pairs = list(S.tagged(text, set()))
+    assert len(pairs) == 2 and sum(pairs[1][1]) == 3  # the paragraph without marks is left out
+
+
+def test_held_out_documents():
+    subjects, verbs, objects = ["索引任务", "提示模板", "审计日志", "上传网关", "缓存"], ["压缩了", "覆盖了", "跳过了", "清空了"], ["会议记录", "报价单", "切片", "权限名单"]
+    clauses = [a + b + c for a in subjects for b in verbs for c in objects]
+    texts = ["".join(clauses[(i * 7 + j * 11) % 80] + "。！？"[(i + j) % 3] for j in range(6)) for i in range(60)]
+    weights = S.train(texts[:40])
+    for text in texts[40:]:
+        for signatures, truth in S.tagged(text, set()):
+            assert S.decode(signatures, weights) == truth
+
+
+def test_abbreviations_are_counted_over_all_documents(spark):
+    rows = [(i, f"It took approx. {i} days. Then it ended. See vol. two and so on.") for i in range(30)] + [(99, None), (98, "")]
+    assert S.abbreviations(spark.createDataFrame(rows, "doc_id int, text string"), "text") == {"approx", "vol"}
+    assert S.abbreviations(spark.createDataFrame([], "doc_id int, text string"), "text") == set()
