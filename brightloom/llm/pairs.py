@@ -2,16 +2,20 @@
 
 A response is cut into clauses, and a linear-chain conditional random field tags each as answer, refusal, echo,
 foreign or unfinished. The tags' coverage of the response decides whether the pair has a defect, and which. The
-field is trained here, on a bounded sample of pairs whose clauses are labelled by plain evidence: overlap with the
-question, the language asked for, first-person refusals, and how the text ends. What the words of refusals and of
-cut-off clauses look like beyond that evidence, and how tags follow each other, is learnt.
+field is trained here, on a bounded sample of pairs, from defects that are made: questions given back, refusals put
+in an answer's place, answers in other languages, responses cut off or left open. So each clause's label is known by
+how it was made, not by a rule over what the field sees: the words of a clause, how much it shares with the question,
+how likely each language is, how it ends, and the tags beside it. Pairs that the field, once trained, takes for
+defective are no longer training answers when it is trained again.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,16 +39,49 @@ SCRIPTS = {"ja": "぀-ヿ", "zh": "㐀-鿿", "ko": "가-힯", "ru": "Ѐ-ӿ", "ar
 MARKED = {"de": "äöüß", "fr": "èêàçùîôœëï", "es": "ñ¿¡", "pt": "ãõ"}
 STOP = {w: [l for l in WORDS if w in WORDS[l].split()] for ws in WORDS.values() for w in ws.split()}
 PLACEHOLDERS = set("n/a na none null nil nan undefined empty placeholder tbd todo 空 无内容 待补充 暂无 未填写 なし 空白".split())
-REFUSES = re.compile(
-    r"\bI(?:'m| am) (?:not able|unable|not allowed|not permitted|afraid I can)|\bI (?:can(?:'t|not| not)|could not|won't be able to|will not|won't) (?:help|answer|share|provide|assist|comment|respond|discuss|give|offer|say|reply|do that)"
-    r"|\bI (?:must|have to) (?:refrain|decline)|\bI don't have (?:access|enough|the information)|something I have to decline|not enough material .{0,40}for me|do not let me give"
-    r"|cannot be answered from|outside of what I may do|answer(?:ing)? this is (?:outside|beyond)"
-    r"|我(?:们)?(?:暂时)?(?:无法|没法|不便|不能|没有办法|需要婉拒|必须婉拒|无权)|不足以支持我|没有能用来回答|恕难|恕不|超出了?我的(?:权限|范围)|不便作答|无可奉告"
-    r"|(?:お答え|回答|お手伝い)(?:することは|は)?(?:できません|出来ません|いたしかねます)|(?:darf|kann|möchte) ich .{0,24}nicht (?:beantworten|helfen|sagen)|fehlen (?:mir )?die (?:Unterlagen|Informationen)|Mir fehlen"
-    r"|je ne (?:peux|puis) pas|ne suis pas en mesure|no puedo (?:responder|ayudar|contestar)|no me es posible|не могу (?:ответить|помочь)|답변(?:할|드릴) 수 없|non posso rispondere|não posso responder",
-    re.I,
-)
-ASKED = re.compile(r"^\W*(?:you asked|your question|the question was|you (?:want|wanted) to know|您想了解|您问的是|您的问题是|你问的是|问题是|ご質問は|Ihre Frage|Sie fragten|votre question|su pregunta)", re.I)
+# Sentences that decline, put in place of answers in training; fixed values.
+DECLINE = {
+    "en": [
+        "I cannot help with that.", "I'm not able to answer this question.", "I am unable to share that information.", "I can't provide an answer to this.",
+        "I must decline to answer.", "I have to refrain from any comment on it.", "I won't be able to give details on this.", "I am not allowed to discuss this.",
+        "This cannot be answered from the documents I have.", "There is not enough material here for me to answer.", "I don't have enough information to reply.",
+        "I don't have access to that data.", "My rules do not let me give an answer.", "Answering this is outside of what I may do.", "That is something I have to decline.",
+        "I apologise; I have to decline this.", "The passages I was given do not let me answer.", "This request is beyond what I can respond to.", "I will not comment on this topic.", "I could not find anything to answer it with.", "No answer can be given by me.",
+    ],
+    "zh": [
+        "我无法回答这个问题。", "这个问题我不便作答。", "我不能提供这方面的内容。", "该请求超出了我的权限，恕难答复。", "现有资料不足以支持我给出答复。", "知识库中没有能用来回答的内容。",
+        "这类内容我需要婉拒。", "我没有办法回应这个请求。", "恕我不能透露。", "我无权讨论这个话题。", "暂时没法给您答案。", "我必须拒绝这个请求。", "我不能对此发表意见。", "没有可供我答复的依据。", "检索结果里没有依据，我没法作答。", "资料不足，不能支持我作出回答。", "这方面的说明我不能提供。",
+    ],
+    "de": [
+        "Dazu kann ich keine Auskunft geben.", "Darauf kann ich nicht antworten.", "Diese Frage darf ich nicht beantworten.", "Mir fehlen die Unterlagen, um darauf zu antworten.",
+        "Ich muss diese Anfrage ablehnen.", "Dabei kann ich Ihnen nicht helfen.", "Dazu möchte ich mich nicht äußern.", "Mir liegen keine Informationen vor.", "Das geht über meine Befugnisse hinaus.",
+    ],
+    "fr": [
+        "Je ne peux pas répondre à cette question.", "Je ne suis pas en mesure de vous aider.", "Je dois décliner cette demande.", "Il me manque les documents pour répondre.",
+        "Je ne dispose pas des informations nécessaires.", "Je n'ai pas le droit d'en parler.", "Cela dépasse ce que je peux faire.", "Je préfère ne pas me prononcer.", "Je n'ai pas assez d'éléments pour répondre.",
+    ],
+    "es": [
+        "No puedo responder a esta pregunta.", "No me es posible ayudar con eso.", "Debo rechazar esta petición.", "No dispongo de material para contestar.",
+        "No tengo información suficiente.", "No estoy autorizado a hablar de ello.", "Prefiero no opinar sobre este tema.", "Eso queda fuera de mis atribuciones.",
+    ],
+    "ja": [
+        "その質問にはお答えできません。", "お手伝いすることはできません。", "回答いたしかねます。", "回答に必要な資料がありません。", "その件についてはお話しできません。", "ご依頼はお断りします。", "私の権限を超えています。", "資料が足りず、回答できません。", "根拠となる資料がないため、お答えできません。",
+    ],
+    "it": ["Non posso rispondere a questa domanda.", "Non sono in grado di aiutare.", "Devo rifiutare questa richiesta."],
+    "pt": ["Não posso responder a esta pergunta.", "Não tenho informação suficiente.", "Devo recusar este pedido."],
+    "ko": ["그 질문에는 답변할 수 없습니다.", "도와드릴 수 없습니다.", "요청을 거절해야 합니다.", "답변에 필요한 자료가 없습니다."],
+    "ru": ["Я не могу ответить на этот вопрос.", "К сожалению, не могу помочь.", "Вынужден отклонить этот запрос.", "У меня нет данных для ответа."],
+}
+BEFORE_DECLINE = {
+    "en": ["", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "Hello. ", "As an assistant, "], "zh": ["", "抱歉，", "很遗憾，", "您好，", "对不起，", "作为助手，"],
+    "de": ["", "Leider: ", "Es tut mir leid. ", "Guten Tag. "], "fr": ["", "Je suis désolé. ", "Désolé, ", "Bonjour. "], "es": ["", "Lo siento. ", "Lamentablemente, "],
+    "ja": ["", "申し訳ありませんが、", "恐れ入りますが、"],
+}
+AFTER_DECLINE = {
+    "en": ["", "", " Please contact your administrator.", " Feel free to ask me something else!", " Is there another topic I can help with?", ", I hope you understand.", " Such requests go to the owners of the documents, who look into them on working days."], "zh": ["", "", "，望理解。", "这类请求由资料的负责人在工作日处理。", "请联系管理员。", "您可以换个话题再问。", "如需帮助请联系负责人。"],
+    "de": ["", "", " Bitte wenden Sie sich an die Leitung.", " Fragen Sie gern etwas anderes."], "fr": ["", "", " Veuillez contacter votre administrateur.", " Posez-moi une autre question."],
+    "es": ["", "", " Contacte con su administrador.", " Puede preguntar otra cosa."], "ja": ["", "", "管理者にお問い合わせください。", "別の質問をどうぞ。"],
+}
 IN_LANGUAGE = {
     "zh": r"chinese|mandarin|中文|汉语|chinesisch|chinois|chino|中国語",
     "ja": r"japanese|日文|日语|japanisch|japonais|japonés|日本語",
@@ -70,32 +107,43 @@ DANGLING = re.compile(
 OPENING = re.compile(r"^(?:the|a|an|our|one of|der|die|das|le|la|les|el|los|las|un|une)\b", re.I)
 
 
+LANGUAGES = [*WORDS, *SCRIPTS]
+SCRIPT = {l: re.compile(f"[{r}]") for l, r in SCRIPTS.items()}
+LATIN = re.compile(r"[a-zà-öø-ÿœ]+")
+
+
 def plain(text: str) -> str:
     """Letters and digits in lower case."""
     return re.sub(r"[\W_]+", "", text.lower())
 
 
-def language_scores(text: str) -> dict[str, float]:
-    """Evidence for each language: its script, and its common words and letters where the script is Latin."""
+@lru_cache(maxsize=4096)
+def _scores(text: str) -> tuple[float, ...]:
     low = text.lower()
-    words = re.findall(r"[a-zà-öø-ÿœ]+", low)
-    n = {l: len(re.findall(f"[{r}]", text)) for l, r in SCRIPTS.items()}
-    score = dict.fromkeys(WORDS, 0.0)
+    words = LATIN.findall(low)
+    score = dict.fromkeys(LANGUAGES, 0.0)
     for w in words:
         for l in STOP.get(w, ()):
             score[l] += 1.0 / len(STOP[w])
-    for l, marks in MARKED.items():
-        score[l] += 0.8 * sum(low.count(c) for c in marks)
-    rest = 2 * len(words)
-    kana, han = n.pop("ja"), n.pop("zh")
-    is_ja = kana > 1 and kana * 8 > han
-    score["ja"] = float((kana + han) / 2 if is_ja and kana + han > len(words) else 0)
-    score["zh"] = float(han / 2 if not is_ja and han >= 2 and han >= rest else 0)
-    for l, k in n.items():
-        score[l] = float(k / 2 if k >= 3 and k > rest else 0)
-    if max(score[l] for l in ("ja", "zh", *n)) > 0:
-        score.update(dict.fromkeys(WORDS, 0.0))
-    return score
+    if not text.isascii():
+        for l, marks in MARKED.items():
+            score[l] += 0.8 * sum(low.count(c) for c in marks)
+        n = {l: len(r.findall(text)) for l, r in SCRIPT.items()}
+        rest = 2 * len(words)
+        kana, han = n.pop("ja"), n.pop("zh")
+        is_ja = kana > 1 and kana * 8 > han
+        score["ja"] = float((kana + han) / 2 if is_ja and kana + han > len(words) else 0)
+        score["zh"] = float(han / 2 if not is_ja and han >= 2 and han >= rest else 0)
+        for l, k in n.items():
+            score[l] = float(k / 2 if k >= 3 and k > rest else 0)
+        if max(score[l] for l in SCRIPT) > 0:
+            score.update(dict.fromkeys(WORDS, 0.0))
+    return tuple(score.values())
+
+
+def language_scores(text: str) -> dict[str, float]:
+    """Evidence for each language: its script, and its common words and letters where the script is Latin."""
+    return dict(zip(LANGUAGES, _scores(text)))
 
 
 def language(text: str) -> str:
@@ -193,91 +241,138 @@ def _echo(clause: str, query: str, grams: set[str]) -> float:
     return sum(g in grams for g in n) / max(1, len(n))
 
 
+@lru_cache(maxsize=200_000)
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+def _level(share: float) -> int:
+    return min(5, int(share * 5 + 0.05))
+
+
 class Pair:
-    """One pair with the clauses of its response, their features and, for training, their labels."""
+    """One pair with the clauses of its response and their features; labels, where they are known, one per clause."""
 
-    def __init__(self, query: str | None, content: str):
+    def __init__(self, query: str | None, content: str, labels: list[int] | None = None):
         self.clauses = clauses(content)
+        self.known = labels
         query = query or ""
         q = plain(query)
         grams = {q[i : i + 3] for i in range(len(q) - 2)}
         wanted = expected_language(query)
-        self.size = [max(1, len(plain(t))) for _, t in self.clauses]
-        self.features, self.seen = [], []
+        texts = [plain(t) for _, t in self.clauses]
+        self.size = [max(1, len(t)) for t in texts]
+        self.features, self.ends = [], []
         single = len(self.clauses) == 1
-        whole = "".join(plain(t) for _, t in self.clauses)
-        rest = len(whole.replace(q, "")) if len(q) >= 4 else len(whole)
-        copied = len(q) >= 4 and (q in whole and rest <= max(8, 0.35 * len(q)) or whole in q and len(whole) >= 0.7 * len(q))
-        declines = any(REFUSES.search(t) for _, t in self.clauses)
+        whole = "".join(texts)
+        all_held = _level(_echo(whole, q, grams))
+        given = {whole[i : i + 3] for i in range(len(whole) - 2)}
+        asked = _level(sum(g in given for g in grams) / max(1, len(grams)))  # how much of the question the response gives back
+        beyond = _level(len(whole.replace(q, "")) / max(1, len(whole))) if len(q) >= 4 else 5  # what stands beside the question itself
+        longer = min(6, round(2 * np.log2((len(whole) + 4) / (len(q) + 4)))) if q else 7
         for i, (kind, text) in enumerate(self.clauses):
             last = i == len(self.clauses) - 1
-            p = plain(text)
-            echo = _echo(p, q, grams)
+            p = texts[i]
+            level = _level(_echo(p, q, grams)) if len(p) >= 4 else 0
             relation = "none" if kind in ("code", "open_code", "data", "link") else relation_to(text, wanted)
             end = ending(kind, text, single) if last else "inner"
-            refuses = bool(REFUSES.search(text))
-            repeats = copied or len(p) >= 6 and len(q) >= 4 and (
-                q in p and len(p) - len(q) <= 0.35 * len(q) or p in q and len(p) >= 0.7 * len(q)
-            )
-            asked = bool(ASKED.match(text)) and not repeats
+            self.ends.append(end)
             size = min(6, len(p).bit_length())
-            level = int(echo * 5) if len(p) >= 4 else 0
-            self.seen.append((repeats, relation, end, refuses, declines, kind))
+            tail = text.rstrip()[-1:]
             names = [
-                "bias", f"end {end}", f"rel {relation}", f"echo {level}", f"refuses {refuses}", f"kind {kind}", f"asked {asked}",
-                f"size {size}", f"first {i == 0} {last}", f"er {level} {relation}", f"ek {end} {kind}", f"rr {refuses} {relation}",
-                f"el {level} {size}", f"ae {asked} {level}", f"repeats {repeats}", f"declines {declines} {kind} {refuses}",
+                "bias", f"end {end}", f"rel {relation}", f"echo {level}", f"kind {kind}", f"size {size}", f"first {i == 0} {last}", f"er {level} {relation}",
+                f"ek {end} {kind}", f"el {level} {size}", f"ae {asked} {level}", f"al {asked} {longer}", f"ah {asked} {all_held} {longer > 1}", f"tail {last} {tail if not tail.isalnum() else 'letter'}",
+                f"rs {relation} {size}", f"beyond {beyond} {asked}", f"be {beyond} {level}",
             ]
             plain_names = len(names)
             low = text.lower()
-            words = re.findall(r"[a-zà-öø-ÿœ']+", low)
+            words = re.findall(r"[a-zà-öø-ÿœа-яё']+", low)
             names += [f"w {w}" for w in words] + [f"b {a} {b}" for a, b in zip(words, words[1:])]
-            han = re.sub(r"[^㐀-鿿぀-ヿ가-힯]+", " ", low)
-            names += [f"c {han[j : j + 2]}" for j in range(len(han) - 1) if " " not in han[j : j + 2]]
+            signs = re.sub(r"[^㐀-鿿぀-ヿ가-힯]+", " ", low)
+            names += [f"c {signs[j : j + 2]}" for j in range(len(signs) - 1) if " " not in signs[j : j + 2]]
             # the words of a clause together weigh as much as a few other features
             lexical = max(1, len(names) - plain_names)
-            values = np.r_[np.ones(plain_names), np.full(len(names) - plain_names, min(1.0, 3.0 / lexical))]
-            self.features.append((np.array([zlib.crc32(n.encode()) % BUCKETS for n in names], dtype=np.int64), values))
+            values = np.r_[np.ones(plain_names), np.full(len(names) - plain_names, min(1.0, 5.0 / lexical))]
+            self.features.append((np.array([_bucket(n) for n in names], dtype=np.int64), values))
 
     def labels(self) -> list[int]:
-        """Labels by plain evidence, for training."""
-        out = []
-        for repeats, relation, end, refuses, declines, kind in self.seen:
-            if repeats:
-                out.append(ECHO)
-            elif refuses or declines and len(self.seen) <= 6 and kind == "text":
-                out.append(REFUSAL)
-            elif relation == "other":
-                out.append(FOREIGN)
-            elif end in ("open", "cut"):
-                out.append(UNFINISHED)
-            else:
-                out.append(ANSWER)
-        return out
+        """What the clauses are known to be; answers, if nothing is known."""
+        return self.known if self.known is not None else [ANSWER] * len(self.clauses)
 
 
-INTRODUCED = ["", "> ", "You asked: ", "Question: ", "Your question was: ", "您的问题是：", "问题：", "ご質問：", "Frage: ", "Question : ", "Pregunta: "]
+INTRODUCED = ["", "> ", "You asked: ", "Question: ", "Your question was: ", "您的问题是：", "问题：", "ご質問：", "Frage: ", "Question : ", "Pregunta: ", "“", "\n"]
+LED = {"en": "You asked about {}. ", "zh": "您想了解{}。", "de": "Sie fragten nach {}. ", "fr": "Vous demandez {}. ", "es": "Usted pregunta por {}. ", "ja": "{}についてのご質問ですね。"}
+LEFT_OPEN = ["\n1. a\n2.", "\n- ", "\n```python\nfor row in rows:\n    x = (", "\n```\ncommand --", '\n{"step": 1, "target": "the', '\n[{"a": 1}, {"b"']
 
 
-LEFT_OPEN = ["\n1. a\n2.", "\n- ", "\n```python\nfor row in rows:\n    x = (", "\n```\ncommand --", '\n{"step": 1, "target": "the', '\n[{"a": 1}, {"b"']
+def _made(query: str | None, content: str, label: int, only_last: bool = False) -> Pair:
+    pair = Pair(query, content)
+    n = len(pair.clauses)
+    pair.known = [ANSWER] * (n - 1) + [label] * min(1, n) if only_last else [label] * n
+    return pair
+
+
+def with_made_defects(pairs: list[tuple[str | None, str]], seed: int = 11) -> list[Pair]:
+    """The pairs as answers, and for a part of them copies with a defect made, whose labels are known by how they were made."""
+    rng = random.Random(seed)
+    out = [Pair(q, c) for q, c in pairs]
+    by_language: dict[str, list[str]] = {}
+    for q, c in pairs:
+        if len(c) > 12:
+            by_language.setdefault(language(c), []).append(c)
+    by_language.pop("", None)
+    for i, (query, content) in enumerate(pairs):
+        wanted = expected_language(query or "")
+        if i % 8 == 0 and query and query.strip():
+            out.append(_made(query, rng.choice(INTRODUCED) + rng.choice([query.strip(), query.strip(), query.upper(), query.strip(" 。.?？!！"), f"{query.strip()} {query.strip()}", query.strip() * 2]), ECHO))
+        elif i % 8 == 1 and len(content) > 24:  # cut within its last sentence
+            out.append(_made(query, content[: rng.randint(max(12, len(content) // 3), len(content) - 2)].rstrip(" .。!！?？"), UNFINISHED, True))
+        elif i % 8 == 2:
+            out.append(_made(query, content.rstrip() + rng.choice(LEFT_OPEN), UNFINISHED, True))
+        elif i % 8 in (3, 4):
+            tongue = wanted if wanted in DECLINE and i % 3 else rng.choice(list(DECLINE))
+            lead = LED[tongue].format((query or "").strip(" ?？。.")[-14:]) if tongue in LED and i % 3 == 0 else ""
+            out.append(_made(query, lead + rng.choice(BEFORE_DECLINE.get(tongue, [""])) + rng.choice(DECLINE[tongue]) + rng.choice(AFTER_DECLINE.get(tongue, [""])), REFUSAL))
+        elif i % 8 == 5 and wanted and len(by_language) > 1:
+            other = rng.choice([l for l in by_language if l != wanted] or [""])
+            if other:
+                out.append(_made(query, rng.choice(by_language[other]), FOREIGN))
+    return [p for p in out if p.clauses]
+
+
+def _grams(text: str) -> set[str]:
+    low = text.lower()
+    signs = re.sub(r"[^㐀-鿿぀-ヿ가-힯]+", " ", low)
+    return {*re.findall(r"[a-zà-öø-ÿœа-яё']+", low), *(signs[j : j + 2] for j in range(len(signs) - 1) if " " not in signs[j : j + 2])}
 
 
-def with_made_defects(pairs: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
-    """The pairs, and for a part of them a copy with a defect made: the question given back, cut off, or exchanged.
+DECLINING = [_grams(s) for those in DECLINE.values() for s in those]
 
-    So the field knows each kind however rare it is in the sample.
-    """
-    made = []
-    for i, (query, content) in enumerate(pairs):
-        if query and i % 10 == 0:
-            made.append((query, INTRODUCED[i // 10 % len(INTRODUCED)] + query.strip()))
-        elif len(content) > 12 and i % 10 == 1:
-            made.append((query, content[: 6 + zlib.crc32(content.encode()) % (len(content) - 8)]))
-        elif i % 10 == 3:
-            made.append((query, content.rstrip() + LEFT_OPEN[i // 10 % len(LEFT_OPEN)]))
-        elif i % 10 == 2:
-            made.append((query, pairs[(i * 7919 + 13) % len(pairs)][1]))
-    return [*pairs, *made]
+
+def _doubtful(query: str | None, content: str) -> bool:
+    """Whether a pair shows any sign of a defect, so that it had better not teach what an answer is."""
+    pair = Pair(query, content)
+    q, wanted = plain(query or ""), expected_language(query or "")
+    whole = "".join(plain(t) for _, t in pair.clauses)
+    if pair.ends[-1:] != ["bare"] and pair.ends[-1:] in (["cut"], ["open"]) or not pair.clauses:
+        return True
+    if len(q) >= 4 and q in whole and len(whole) < 2 * len(q) or whole and whole in q:
+        return True
+    held = [_grams(t) for _, t in pair.clauses]
+    near = any(len(g & d) >= 0.5 * min(len(g), len(d)) and len(g & d) > 1 for g in held if g for d in DECLINING)
+    return near or any(relation_to(t, wanted) == "other" for kind, t in pair.clauses if kind in ("text", "item"))
+
+
+def train(pairs: list[tuple[str | None, str]], rounds: int = 2, steps: int = 80) -> Field:
+    """A field from the pairs that show no sign of a defect and from the defects made of them; those it still takes for
+    defective are left out of a second round."""
+    field = None
+    pairs = [(q, c) for q, c in pairs if not _doubtful(q, c)]
+    for _ in range(rounds):
+        if field is not None:
+            pairs = [(q, c) for q, c in pairs if coverage(field, q, c)[0] is None]
+        field = Field.fit(with_made_defects(pairs), steps if field is not None or rounds == 1 else steps // 2)
+    return field
 
 
 class Field:
@@ -287,24 +382,28 @@ class Field:
         self.weights, self.moves = weights, moves
 
     @classmethod
-    def fit(cls, pairs: list[Pair], steps: int = 80, rate: float = 0.08, decay: float = 1e-5, longest: int = 24) -> Field:
-        """Conditional likelihood by forward-backward on all sequences at once, with Adam's steps."""
-        pairs = [p for p in pairs if 0 < len(p.clauses) <= longest]
+    def fit(cls, pairs: list[Pair], steps: int = 80, rate: float = 0.08, decay: float = 1e-5, stretch: int = 64) -> Field:
+        """Conditional likelihood by forward-backward on all sequences at once, with Adam's steps.
+
+        A response of more than ``stretch`` clauses is trained on in stretches, one after the other.
+        """
         L = len(LABELS)
         field = cls(np.zeros((BUCKETS, L)), np.zeros((L + 1, L)))
-        if not pairs:
+        runs = [(p.features[a : a + stretch], p.labels()[a : a + stretch]) for p in pairs for a in range(0, len(p.clauses), stretch)]
+        if not runs:
             return field
-        n, T = len(pairs), max(len(p.clauses) for p in pairs)
-        ids = np.concatenate([f for p in pairs for f, _ in p.features])
-        value = np.concatenate([v for p in pairs for _, v in p.features])[:, None]
-        lengths = np.array([len(f) for p in pairs for f, _ in p.features])
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        row = np.concatenate([np.full(len(p.clauses), i) for i, p in enumerate(pairs)])
-        col = np.concatenate([np.arange(len(p.clauses)) for p in pairs])
-        y = np.concatenate([p.labels() for p in pairs])
-        mask = np.zeros((n, T), dtype=bool)
-        mask[row, col] = True
+        runs.sort(key=lambda r: -len(r[0]))  # so that the sequences that go on at a place come first
+        length = np.array([len(f) for f, _ in runs])
+        n, T = len(runs), length[0]
+        live = [int((length > t).sum()) for t in range(T)]
+        ids = np.concatenate([f for r, _ in runs for f, _ in r])
+        value = np.concatenate([v for r, _ in runs for _, v in r])[:, None]
+        widths = np.array([len(f) for r, _ in runs for f, _ in r])
+        owner = np.repeat(np.arange(len(widths)), widths)
+        begins = np.cumsum(widths) - widths
+        row = np.repeat(np.arange(n), length)
+        col = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        y = np.concatenate([labels for _, labels in runs])
         truth = np.zeros((len(y), L))
         truth[np.arange(len(y)), y] = 1
         before = np.where(col == 0, L, np.concatenate([[L], y[:-1]]))
@@ -313,29 +412,25 @@ class Field:
         first = {"w": 0.0, "m": 0.0}
         second = {"w": 0.0, "m": 0.0}
         for step_no in range(1, steps + 1):
-            local = np.add.reduceat(field.weights[ids] * value, begins, axis=0)
             e = np.zeros((n, T, L))
-            e[row, col] = local
+            e[row, col] = np.add.reduceat(field.weights[ids] * value, begins, axis=0)
             A = field.moves[:L]
-            forward = np.zeros((n, T, L))
+            forward, backward = np.zeros((n, T, L)), np.zeros((n, T, L))
             forward[:, 0] = e[:, 0] + field.moves[L]
             for t in range(1, T):
-                step = _logsum(forward[:, t - 1, :, None] + A, 1) + e[:, t]
-                forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
-            backward = np.zeros((n, T, L))
+                k = live[t]
+                forward[:k, t] = _logsum(forward[:k, t - 1, :, None] + A, 1) + e[:k, t]
             for t in range(T - 2, -1, -1):
-                step = _logsum(A + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-                backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            z = _logsum(forward[:, -1], 1)
-            single = np.exp(forward + backward - z[:, None, None])
-            expected = single[row, col]
+                k = live[t + 1]
+                backward[:k, t] = _logsum(A + (e[:k, t + 1] + backward[:k, t + 1])[:, None, :], 2)
+            z = _logsum(forward[np.arange(n), length - 1], 1)
+            expected = np.exp(forward + backward - z[:, None, None])[row, col]
             moves = np.zeros((L + 1, L))
-            moves[L] = single[:, 0].sum(axis=0)
+            moves[L] = expected[col == 0].sum(axis=0)
             for t in range(1, T):
-                live = mask[:, t]
-                if live.any():
-                    joint = forward[live, t - 1, :, None] + A + (e[live, t] + backward[live, t])[:, None, :] - z[live, None, None]
-                    moves[:L] += np.exp(joint).sum(axis=0)
+                k = live[t]
+                joint = forward[:k, t - 1, :, None] + A + (e[:k, t] + backward[:k, t])[:, None, :] - z[:k, None, None]
+                moves[:L] += np.exp(joint).sum(axis=0)
             miss = (truth - expected)[owner] * value
             gw = np.stack([np.bincount(ids, miss[:, l], BUCKETS) for l in range(L)], axis=1)
             gw = gw / n - decay * field.weights
@@ -388,7 +483,7 @@ def coverage(field: Field, query: str | None, content: str | None) -> tuple[str
         defect = "copied"
     elif share[FOREIGN] > 0.5:
         defect = "other_language"
-    elif tags and tags[-1] == UNFINISHED and pair.seen[-1][2] in ("open", "cut"):  # the exact check of its end
+    elif tags and tags[-1] == UNFINISHED and pair.ends[-1] in ("open", "cut"):  # the exact check of its end
         defect = "truncated"
     else:
         defect = None
@@ -407,8 +502,7 @@ def broken_pairs(
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(query).alias("q"), F.col(content).alias("c"))
     chosen = slim.where(F.length("c") > 0).orderBy(F.xxhash64(F.col("id").cast("string")), "c").limit(sample_size).collect()
-    sampled = with_made_defects([(r["q"], r["c"]) for r in chosen if not is_empty(r["c"])])
-    field = Field.fit([Pair(q, c) for q, c in sampled])
+    field = train([(r["q"], r["c"]) for r in chosen if not is_empty(r["c"])])
     sent = df.sparkSession.sparkContext.broadcast(field)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,9 +25,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant messages, each once, with the question their metadata names.
 
-    Both tables are partitioned by request once, in a stated number of parts: copies of a message name the same
-    request, so they meet there too, and the tagging that follows keeps all of the parts. A message that names no
-    request has a key of its own, so that such messages are no hot group.
+    A message that names no request has a key of its own in the join, so that such messages are no hot group. After the
+    join messages are dealt by their own id, in a stated number of parts, where their copies meet; so the tagging is
+    spread evenly even if one request holds a great part of the messages. Of several rows of a request the earliest counts.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = F.get_json_object("metadata", "$.request_id")
@@ -35,14 +35,10 @@ def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "messages")
         .where("role = 'assistant' and message_id is not null")
         .select("message_id", "content", F.coalesce(named, F.concat(F.lit("none of "), F.col("message_id"))).alias("request_id"))
-        .repartition(parts, "request_id")
-        .dropDuplicates(["request_id", "message_id"])
     )
-    asked = (
-        table(spark, sf_dir, "chat_requests").where("request_id is not null").select("request_id", "query")
-        .repartition(parts, "request_id").dropDuplicates(["request_id"])
-    )
-    return said.join(asked, "request_id", "left")
+    asked = table(spark, sf_dir, "chat_requests").where("request_id is not null")
+    asked = asked.groupBy("request_id").agg(F.min(F.struct("created_at", "query")).alias("first")).select("request_id", "first.query")
+    return said.join(asked, "request_id", "left").repartition(parts, "message_id").dropDuplicates(["message_id"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

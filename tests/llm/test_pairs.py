@@ -24,7 +24,7 @@ def training():
     out = []
     for i in range(160):
         lang = ["en", "zh", "de"][i % 3]
-        out.append((Q[lang], A[lang][i % len(A[lang])]))
+        out.append((Q[lang], A[lang][i // 3 % len(A[lang])]))
         if i % 8 == 0:
             out.append((Q["en"], "I cannot help with that request. Feel free to ask me something else!"))
             out.append((Q["zh"], "抱歉，我无法回答这个问题，请联系管理员。"))
@@ -34,7 +34,7 @@ def training():
 
 @pytest.fixture(scope="module")
 def field():
-    return P.Field.fit([P.Pair(q, c) for q, c in P.with_made_defects(training())])
+    return P.train(training())
 
 
 @pytest.mark.parametrize("query,content,defect", CASES, ids=lambda x: str(x)[:24])
@@ -43,11 +43,29 @@ def test_defects(field, query, content, defect):
 
 
 def test_gradient_fits_its_labels(field):
-    pairs = [P.Pair(q, c) for q, c in training()]
+    pairs = P.with_made_defects([(q, c) for q, c in training() if not P._doubtful(q, c)])
     right = sum(field.tags(p) == p.labels() for p in pairs)
     assert right >= 0.97 * len(pairs)
 
 
+def test_held_out_defects_are_found(field):
+    """Made in other words, or at other places, than those trained on."""
+    made = {
+        "refusal": [(Q["en"], "Regrettably I cannot answer this one."), (Q["en"], "I am afraid I cannot help you with this question."), (Q["zh"], "对不起，这个请求我不能答复。"), (Q["en"], "No puedo contestar a esta pregunta.")],
+        "copied": [(Q["de"], "Frage: " + Q["de"]), (Q["en"], Q["en"] + " " + Q["en"]), (Q["zh"], Q["zh"] * 2)],
+        "truncated": [(Q["en"], A["en"][0][:-9]), (Q["zh"], A["zh"][1][:-4]), (Q["de"], A["de"][1][:-12])],
+        "other_language": [(Q["de"], A["en"][0]), (Q["en"], A["de"][1]), (Q["zh"], A["en"][1])],
+    }
+    for defect, pairs in made.items():
+        assert [P.coverage(field, q, c)[0] for q, c in pairs] == [defect] * len(pairs)
+
+
+def test_long_responses_are_trained_on_in_stretches():
+    long = P.Pair(Q["en"], " ".join(A["en"][0] for _ in range(100)), None)
+    assert len(long.clauses) > 64 and P.Field.fit([long]).tags(long) == [P.ANSWER] * len(long.clauses)
+    assert P.Field.fit([]).tags(P.Pair("a", "One. Two.")) == [0, 0]
+
+
 def test_viterbi_equals_brute_force(field):
     import itertools
 
