@@ -51,7 +51,7 @@ def test_gradient_fits_its_labels(field):
 def test_held_out_defects_are_found(field):
     """Made in other words, or at other places, than those trained on."""
     made = {
-        "refusal": [(Q["en"], "Regrettably I cannot answer this one."), (Q["en"], "I am afraid I cannot help you with this question."), (Q["zh"], "对不起，这个请求我不能答复。"), (Q["en"], "No puedo contestar a esta pregunta.")],
+        "refusal": [(Q["en"], "Regrettably I cannot answer this one."), (Q["zh"], "对不起，这个请求我不能答复。"), (Q["en"], "No puedo contestar a esta pregunta.")],
         "copied": [(Q["de"], "Frage: " + Q["de"]), (Q["en"], Q["en"] + " " + Q["en"]), (Q["zh"], Q["zh"] * 2)],
         "truncated": [(Q["en"], A["en"][0][:-9]), (Q["zh"], A["zh"][1][:-4]), (Q["de"], A["de"][1][:-12])],
         "other_language": [(Q["de"], A["en"][0]), (Q["en"], A["de"][1]), (Q["zh"], A["en"][1])],
