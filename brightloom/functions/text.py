@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x{200b}-\x{200d}\x{feff}\x{ad}]", "")
 
 
+def nfkc(text: Column) -> Column:
+    """Compatibility forms folded and characters composed (NFKC), which no built-in function does; in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.str.normalize("NFKC")
+
+    return fold(text)
+
+
 def line_count(text: Column) -> Column:
     """Line feeds, and one for a last line without one; 0 for the empty text."""
     ends = F.regexp_count(text, F.lit("\n"))
@@ -157,3 +170,33 @@ def roman(number: Column) -> Column:
         parts.append(F.repeat(F.lit(letters), F.floor(left / v).cast("int")))
         left = left % v
     return F.when((number >= 1) & (number <= 3999), F.concat(*parts))
+
+
+def last_place(text: Column, mark: str) -> Column:
+    """0-based place of the last occurrence of a mark, -1 if there is none."""
+    lead = F.regexp_extract(text, rf"(?s)^(.*){re.escape(mark)}", 1)
+    return F.when(F.contains(text, F.lit(mark)), F.length(lead)).otherwise(-1)
+
+
+def truncated(text: Column, most: int, marks: tuple[str, ...] = ("\n", "。", ".", " "), least: float = 0.6, suffix: str = "...") -> Column:
+    """A text of at most ``most`` characters and the suffix, cut before the last of the first mark that stands late enough."""
+
+    def cut(head: Column) -> Column:
+        at = F.coalesce(*[F.when(last_place(head, m) >= int(most * least), last_place(head, m)) for m in marks], F.lit(most))
+        return F.concat(F.left(head, at), F.lit(suffix))
+
+    return F.when(F.length(text) > most, let(F.left(text, F.lit(most)), cut)).otherwise(text)
+
+
+def first_number(text: Column) -> Column:
+    """The first unsigned number of a text, or null."""
+    return F.nullif(F.regexp_extract(text, r"([0-9]+\.?[0-9]*)", 1), F.lit("")).try_cast("double")
+
+
+def json_score(raw: Column, field: str, default: float = 0.5) -> Column:
+    """A number of a JSON object, or of the widest braces in a text around one, or the default."""
+
+    def read(text: Column) -> Column:
+        return F.when(F.try_parse_json(text).isNotNull(), F.get_json_object(text, f"$.{field}").try_cast("double"))
+
+    return F.coalesce(read(raw), read(F.regexp_extract(raw, r"(?s)(\{.*\})", 1)), F.lit(default))

@@ -76,3 +76,35 @@ def top_entities(df: DataFrame, query: str, query_text: str, names: DataFrame, n
     hits = words.join(parts, "w").groupBy(query, name).agg(F.count(F.lit(1)).alias("hits"))
     order = Window.partitionBy(query).orderBy(F.desc("hits"), name)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def local_context(
+    found: DataFrame, query: str, entities: DataFrame, edges: DataFrame, reports: DataFrame, most: tuple[int, int, int] = (5, 10, 3), tokens: int = 2000
+) -> DataFrame:
+    """query, context: what a graph knows about the entities found for each query, of at most 2 * tokens characters.
+
+    found has query, name and rank; entities name, type, description; edges source, target, description; reports name and
+    report. The first entities by rank are described, then the first relations at either end of any of them by name, then
+    the reports. Each limit is a window that keeps so many rows a query and task.
+    """
+
+    def first(rows: DataFrame, order: list, n: int, line: Column, part: int, head: Column) -> DataFrame:
+        at = Window.partitionBy(query).orderBy(*order)
+        numbered = rows.withColumn("__n", F.row_number().over(at)).where(F.col("__n") <= n)
+        return numbered.select(query, F.struct(F.lit(part).alias("part"), F.col("__n").alias("n"), head.alias("head"), line.alias("line")).alias("x"))
+
+    described = first(
+        found.join(entities, "name", "left"), [F.col("rank"), F.col("name")], most[0],
+        F.concat(F.lit("- **"), F.col("name"), F.lit("** ("), F.coalesce("type", F.lit("N/A")), F.lit(")"), F.coalesce(F.concat(F.lit("\n  "), F.left("description", F.lit(300))), F.lit(""))),
+        0, F.lit("## Entities\n"),
+    )
+    ends = found.select(query, "name")
+    near = ends.join(edges, F.col("name") == F.col("source")).unionByName(ends.join(edges, F.col("name") == F.col("target"))).drop("name").distinct()
+    related = first(
+        near, [F.col("source"), F.col("target")], most[1],
+        F.concat(F.lit("- "), F.col("source"), F.lit(" → "), F.col("target"), F.lit(": "), F.coalesce(F.left("description", F.lit(200)), F.lit(""))), 1, F.lit("\n## Relations\n"),
+    )
+    told = first(ends.join(reports, "name").select(query, "report").distinct(), [F.col("report")], most[2], F.left("report", F.lit(500)), 2, F.lit("\n## Reports\n"))
+    lists = described.unionByName(related).unionByName(told).groupBy(query).agg(F.array_sort(F.collect_list("x")).alias("l"))
+    lines = F.transform("l", lambda x: F.when(x["n"] == 1, F.concat(x["head"], x["line"])).otherwise(x["line"]))
+    return lists.select(query, F.left(F.array_join(lines, "\n"), F.lit(2 * tokens)).alias("context"))

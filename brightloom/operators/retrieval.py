@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.functions.text import citations, jaccard, keywords, token_estimate, token_set
+from brightloom.functions.text import citations, jaccard, keywords, let, strip, token_estimate, token_set
 
 # Phrases of an unsure answer; fixed values.
 UNSURE = [
@@ -101,3 +101,45 @@ def merged_sources(first: DataFrame, second: DataFrame, query: str, doc: str) ->
     """Rows of first, then those of second whose document first doesn't have; rows without document all stay."""
     seen = first.where(F.col(doc).isNotNull()).select(query, doc).distinct()
     return first.unionByName(second.join(seen, [query, doc], "left_anti"))
+
+
+def marker_place(answer: Column, number: Column) -> Column:
+    """0-based place in an answer of the mark [n], or of the first [a-b] that spans n; -1 if there is none."""
+
+    def spans(mark: Column) -> Column:
+        low, high = F.regexp_extract(mark, r"^\[([0-9]{1,6})-", 1).cast("int"), F.regexp_extract(mark, r"-([0-9]{1,6})\]$", 1).cast("int")
+        return (low <= number) & (number <= high)
+
+    ranges = F.filter(F.regexp_extract_all(answer, F.lit(r"(\[[0-9]{1,6}-[0-9]{1,6}\])"), F.lit(1)), spans)
+    exact = F.instr(answer, F.concat(F.lit("["), number.cast("string"), F.lit("]")))
+    return F.when(exact > 0, exact).otherwise(F.coalesce(F.instr(answer, F.get(ranges, F.lit(0))), F.lit(0))) - 1
+
+
+def grounded(answer: Column, place: Column, source: Column, before: int = 50, after: int = 150, least: float = 0.3) -> Column:
+    """Whether the words around a place of an answer come from a source: runs of three characters or more that both hold
+    cover ``least`` of them. A mark that isn't there is not grounded, a snippet of less than five characters is."""
+    start = F.greatest(place - before, F.lit(0))
+    snippet = strip(F.regexp_replace(F.substr(answer, start + 1, place + after - start), r"\s+", " "))
+    whole = strip(F.regexp_replace(source, r"\s+", " "))
+
+    def covered(s: Column, w: Column) -> Column:
+        n = F.length(s)
+        hits = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.contains(w, F.substr(s, i, F.lit(3))))
+
+        def share(h: Column) -> Column:
+            def held(i: Column) -> Column:
+                near = F.slice(h, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
+                return F.exists(near, lambda x: x)
+
+            return F.size(F.filter(F.sequence(F.lit(1), n), held)) / n
+
+        return F.when(n < 5, True).otherwise(let(hits, share) >= least)
+
+    return F.when(place < 0, False).otherwise(let(F.struct(snippet.alias("s"), whole.alias("w")), lambda x: covered(x["s"], x["w"])))
+
+
+def feedback_coverage(pairs: DataFrame, id_col: str, answer: str, source: str, head: int = 50, least: float = 0.6) -> DataFrame:
+    """<id_col>, n_sources, n_found, coverage, passed: how many sources' first characters an answer holds."""
+    hit = F.coalesce(F.contains(F.col(answer), F.left(F.col(source), F.lit(head))), F.lit(False))
+    counted = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_sources"), F.count_if(hit).alias("n_found"))
+    return counted.withColumn("coverage", F.round(F.col("n_found") / F.col("n_sources"), 6)).withColumn("passed", F.col("coverage") >= least)

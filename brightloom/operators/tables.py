@@ -81,6 +81,55 @@ def outlier_bounds(df: DataFrame, groups: list[str], value: str, accuracy: int =
     return bounds.withColumn("low", F.col("q1") - iqr * 1.5).withColumn("high", F.col("q3") + iqr * 1.5)
 
 
+def profile_issues(profiled: DataFrame) -> DataFrame:
+    """column, issue, severity of a profile: missing values by their share, mixed types, and columns without values."""
+    share = F.col("null_count") / F.greatest(F.col("n"), F.lit(1))
+
+    def one(when: Column, issue: str, severity: Column) -> Column:
+        return F.when(when, F.struct(F.lit(issue).alias("issue"), severity.alias("severity")))
+
+    found = F.array_compact(
+        F.array(
+            one(F.col("null_count") > 0, "missing", F.when(share > 0.3, "high").when(share > 0.1, "medium").otherwise("low")),
+            one(F.col("dtype") == "mixed_numeric_string", "mixed", F.lit("high")),
+            one(F.col("dtype") == "empty_or_null", "empty", F.lit("high")),
+        )
+    )
+    return profiled.select("column", F.explode(found).alias("x")).select("column", "x.issue", "x.severity")
+
+
+def severity_counts(issues: DataFrame) -> DataFrame:
+    """high, medium, low and total, one row, also for no issues."""
+    return issues.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")], F.count(F.lit(1)).alias("total"))
+
+
+def imputed(df: DataFrame, column: str, groups: list[str], accuracy: int = 100_000) -> DataFrame:
+    """df with nulls of a numeric column replaced by the lower median of the others in the row's group, by a mergeable bounded
+    summary; a group without values keeps its nulls. Group keys may be null."""
+    medians = df.where(F.col(column).isNotNull()).groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(F.percentile_approx(column, 0.5, accuracy).alias("__m"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]
+    joined = df.join(medians, same, "left") if groups else df.join(F.broadcast(medians), how="left")
+    return joined.select(*[F.coalesce(column, "__m").alias(column) if c == column else c for c in df.columns])
+
+
+def most_common(df: DataFrame, column: str) -> DataFrame:
+    """One row: the most frequent value that isn't null, the smallest of several; counts are combined before the shuffle."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(column).alias("v"))).alias("m")).select(F.col("m.v").alias(column), (-F.col("m.n")).alias("n"))
+
+
+def imputed_common(df: DataFrame, column: str) -> DataFrame:
+    """df with nulls of a column replaced by its most frequent value, one row that is broadcast."""
+    common = F.broadcast(most_common(df, column).select(F.col(column).alias("__m")))
+    return df.join(common, how="left").select(*[F.coalesce(column, "__m").alias(column) if c == column else c for c in df.columns])
+
+
+def flattened(df: DataFrame, column: str) -> DataFrame:
+    """df with a struct column's fields as columns <column>_<field>, one level deep; what is deeper stays as it is."""
+    fields = df.schema[column].dataType.fieldNames()
+    return df.select(*[c for c in df.columns if c != column], *[F.col(f"{column}.{f}").alias(f"{column}_{f}") for f in fields])
+
+
 def streaks(df: DataFrame, key: str, order: str, failed: Column, stretch: int = 10_000) -> DataFrame:
     """<key>, n_failures, first_<order> of every run of consecutive failures of a key, by a numeric order column.
 
