@@ -26,6 +26,14 @@ def oracle_sql() -> dict[str, str]:
     day = "cast(cast(timezone('UTC', cast(created_at as timestamptz)) as date) as varchar)"
     once = _ONCE.format
     return {
+        "p6_percentiles": _percentiles(
+            f"""select 'skill' as "of", skill_name as name, {day} as day, 'elapsed_ms' as metric, elapsed_ms as v from ({once(t='skill_metrics')}) where elapsed_ms > 0 and isfinite(elapsed_ms)
+                union all select 'model', lower(trim(model)), {day}, metric, v from
+                (select model, created_at, unnest(['elapsed_ms', 'total_tokens']) as metric,
+                        unnest([elapsed_ms, cast(total_tokens as double)]) as v from ({once(t='llm_metrics')}))
+                where v > 0 and isfinite(v)""",
+            '"of", name, day, metric',
+        ),
         "p6_skill_percentiles": _percentiles(
             f"select skill_name, {day} as day, elapsed_ms as v from ({once(t='skill_metrics')}) where elapsed_ms > 0 and isfinite(elapsed_ms)",
             "skill_name, day",

@@ -171,6 +171,15 @@ def _llm_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.where((F.col("value") > 0) & ~F.isnan("value") & (F.col("value") < F.lit(float("inf"))))
 
 
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All measured columns in one run: elapsed_ms per skill and day, elapsed_ms and total_tokens per model and day."""
+    skills = _skill_values(spark, sf_dir).select(F.lit("skill").alias("of"), F.col("skill_name").alias("name"), "day", F.lit("elapsed_ms").alias("metric"), F.col("elapsed_ms").alias("value"))
+    models = _llm_values(spark, sf_dir).select(F.lit("model").alias("of"), F.col("model").alias("name"), "day", "metric", "value")
+    return percentiles.bisect_percentiles(skills.unionByName(models), ["of", "name", "day", "metric"], "value", PROBABILITIES).withColumn(
+        "percentile", F.round("percentile", 6)
+    )
+
+
 def p6_skill_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.bisect_percentiles(
         _skill_values(spark, sf_dir), ["skill_name", "day"], "elapsed_ms", PROBABILITIES
