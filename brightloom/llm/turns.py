@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.functions.text import let
+
 TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?"
 NAME = r"@?[\p{L}][^\n:：，。！？!?；;“”\"<>\[\]*—]{0,40}(?:\[[^\]\n]{1,20}\])?"
 # Words that open a remark as a name would; fixed values.
@@ -34,7 +36,7 @@ ANNOTATION = (
     rf"|(?i:[（(]\s*(?:{SOUNDS}){LASTING}\s*[)）])"
 )
 # Fillers; fixed values.
-FILLER_LATIN = r"(?i)(?<![\p{L}\p{N}'-])(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h+m*|ah+|you know)(?![\p{L}\p{N}'-])(?:\.{2,}|…|[,.])?[ \t]*"
+FILLER_LATIN = r"(?i)(?=[uehmay])(?<![\p{L}\p{N}'-])(?:u+h*m+|u+h+|e+r+m*|h+m+|m+h+m*|ah+|you know)(?![\p{L}\p{N}'-])(?:\.{2,}|…|[,.])?[ \t]*"
 FILLER_HAN = r"(?<=^|[，。！？；：…、\s])(?:嗯+|呃+|额+|唔+|哦+|啊+|那个|这个|就是说)(?:[…，。、.,]+|$)\s*"
 # Titles that follow or precede a Chinese family name; fixed values.
 TITLES = ["老师", "工", "总", "经理", "主任", "先生", "女士", "博士", "教授", "同学", "姐", "哥"]
@@ -46,12 +48,18 @@ def _text(transcript: Column) -> Column:
 
 
 def layout_of(text: Column) -> Column:
-    """cue (captions), clock ([time] ...), bold (**name** (time)), dash ((time) name - ...), block, or plain."""
+    """cue (captions), clock ([time] ...), bold (**name** (time)), dash ((time) name - ...), block, or plain.
+
+    Lines of the whole transcript are looked at, however long what stands before the first entry; of square and round
+    brackets around a time at the beginning of a line the more frequent decide.
+    """
+    square = F.regexp_count(text, F.lit(rf"(?m)^[ \t]*\[{TIME}\]"))
+    round_ = F.regexp_count(text, F.lit(rf"(?m)^[ \t]*\({TIME}\)"))
     return (
         F.when(text.rlike(rf"(?m)^[ \t]*{TIME}[ \t]*-->[ \t]*{TIME}"), "cue")
-        .when(text.rlike(rf"(?m)\A(?:[^\n]*\n){{0,3}}[ \t]*\[{TIME}\]"), "clock")
         .when(text.rlike(rf"(?m)^\*\*[^\n*]+\*\*[ \t]*\({TIME}\)"), "bold")
-        .when(text.rlike(rf"(?m)\A(?:[^\n]*\n){{0,3}}[ \t]*\({TIME}\)"), "dash")
+        .when((square > 0) & (square >= round_), "clock")
+        .when(round_ > 0, "dash")
         .when(text.rlike(rf"(?m)^[^\n]*[ \t]{TIME}[ \t]*$\n"), "block")
         .otherwise("plain")
     )
@@ -89,15 +97,30 @@ def _seconds(time: Column) -> Column:
 
 
 def clean_words(words: Column) -> Column:
-    """The words of an entry without annotations and fillers, on one line and single-blanked."""
+    """The words of an entry without annotations and fillers, on one line and single-blanked.
+
+    What only some entries have is sought with a plain class of characters first, where that is cheaper.
+    """
     han = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}，。、；：！？（）…“”]"
-    words = F.regexp_replace(words, rf"(?<={han})[ \t]*\n+[ \t]*(?={han})", "")
-    words = F.regexp_replace(words, ANNOTATION, " ")
-    words = F.trim(F.regexp_replace(words, r"[\s\p{Z}]+", " "))
-    for _ in range(2):  # fillers in a row
-        words = F.regexp_replace(words, FILLER_HAN, "")
-    words = F.regexp_replace(words, FILLER_LATIN, "")
-    return F.trim(F.regexp_replace(words, r"[\s\p{Z}]+", " "))
+
+    def single(text: Column) -> Column:
+        return F.regexp_replace(text, r"[\s\p{Z}]+", " ")
+
+    def unbroken(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, rf"(?<={han})[ \t]*\n+[ \t]*(?={han})", "")).otherwise(text)
+
+    def unannotated(text: Column) -> Column:
+        return F.when(text.rlike(r"[\[【*♪♫<（(]"), F.regexp_replace(text, ANNOTATION, " ")).otherwise(text)
+
+    def unfilled(text: Column) -> Column:
+        once = F.regexp_replace(text, FILLER_HAN, "")
+        bare = F.when(text.rlike("[嗯呃额唔哦啊那这就]"), F.regexp_replace(once, FILLER_HAN, "")).otherwise(text)  # twice, for fillers in a row
+        return let(bare, lambda t: F.when(t.rlike("[a-zA-Z]"), F.regexp_replace(t, FILLER_LATIN, "")).otherwise(t))
+
+    def steps(text: Column, *each) -> Column:  # noqa: ANN002
+        return text if not each else let(each[0](text), lambda t: steps(t, *each[1:]))
+
+    return steps(words, unbroken, unannotated, lambda t: F.trim(single(t)), unfilled, lambda t: F.trim(single(t)))
 
 
 def _plain_name(label: Column) -> Column:
@@ -153,7 +176,7 @@ def _partial_forms(key: Column) -> Column:
 
 
 def _entries(df: DataFrame, id_col: str, transcript: str, attendees: str) -> DataFrame:
-    """One row per entry that has words: __id, __layout, __at, __place, __label, __words, __whole, __partial."""
+    """One row per entry that has words: __id, __layout, __place, __at, __speaker, __words."""
     once = (
         df.select(F.col(id_col).alias("__id"), F.col(transcript).alias("__raw"), F.col(attendees).alias("__list"))
         .where(F.col("__id").isNotNull() & (F.length("__raw") > 0))
@@ -181,32 +204,47 @@ def _entries(df: DataFrame, id_col: str, transcript: str, attendees: str) -> Dat
         forms(_whole_forms).alias("__whole"),
         forms(_partial_forms).alias("__partial"),
     ).withColumn("__marked", _marked(F.col("__text"), F.col("__layout")))
-    split = marked.select(
-        "__id", "__layout", "__whole", "__partial", F.posexplode(F.split("__marked", "\x01")).alias("__place", "__piece")
-    ).where("__place > 0")
-    head = F.split("__piece", "[\x02\x03]", 3)
-    return split.select(
-        "__id", "__layout", "__whole", "__partial", "__place",
-        _seconds(F.get(head, F.lit(0))).alias("__at"),
-        F.regexp_replace(F.get(head, F.lit(1)), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("__label"),
-        clean_words(F.get(head, F.lit(2))).alias("__words"),
-    ).where(F.col("__words").rlike(r"[\p{L}\p{N}]"))
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    """Adds __speaker: the one attendee the label fits, wholly or else partly, or else the label as written."""
-    keyed = rows.withColumn("__key", _plain_name(F.col("__label")))
-
-    def fits(forms: str) -> Column:
-        return F.array_distinct(F.transform(F.filter(forms, lambda f: f["form"] == F.col("__key")), lambda f: f["name"]))
-
-    found = keyed.withColumn("__fit", fits("__whole")).withColumn("__part", fits("__partial"))
-    return found.withColumn(
-        "__speaker",
-        F.when(F.size("__fit") > 0, F.get("__fit", F.lit(0)))
-        .when(F.size("__part") == 1, F.get("__part", F.lit(0)))
-        .otherwise(F.col("__label")),
-    ).drop("__whole", "__partial", "__fit", "__part", "__key", "__label")
+
+    def entry(piece: Column) -> Column:
+        """Time, label and words of a piece; worked out once, as they are part of what is exploded."""
+        return let(
+            F.split(piece, "[\x02\x03]", 3),
+            lambda head: F.struct(
+                _seconds(F.get(head, F.lit(0))).alias("at"),
+                F.regexp_replace(F.get(head, F.lit(1)), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("label"),
+                clean_words(F.get(head, F.lit(2))).alias("words"),
+            ),
+        )
+
+    entries = let(F.split("__marked", "\x01"), lambda pieces: F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), entry))
+    spoken = F.filter(entries, lambda e: e["words"].rlike(r"[\p{L}\p{N}]"))
+
+    def named(forms: Column) -> Column:
+        def of(e: Column) -> Column:
+            return F.struct(e["at"].alias("at"), _speaker(e["label"], forms["whole"], forms["partial"]).alias("speaker"), e["words"].alias("words"))
+
+        return F.transform("__spoken", of)
+
+    # the forms are bound once, or they would be made again for every entry
+    known = F.struct(F.col("__whole").alias("whole"), F.col("__partial").alias("partial"))
+    rows = marked.select("__id", "__layout", "__whole", "__partial", spoken.alias("__spoken"))
+    split = rows.select("__id", "__layout", F.posexplode(let(known, named)).alias("__place", "e"))
+    return split.select("__id", "__layout", "__place", F.col("e.at").alias("__at"), F.col("e.speaker").alias("__speaker"), F.col("e.words").alias("__words"))
+
+
+def _speaker(label: Column, whole: Column, partial: Column) -> Column:
+    """The one attendee a label fits, wholly or else partly, or else the label as written."""
+
+    def of(key: Column) -> Column:
+        def fits(forms: Column) -> Column:
+            return F.array_distinct(F.transform(F.filter(forms, lambda f: f["form"] == key), lambda f: f["name"]))
+
+        def part(found: Column) -> Column:
+            return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(label)
+
+        return let(fits(whole), lambda found: F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(let(fits(partial), part)))
+
+    return F.when(label == "", "").otherwise(let(_plain_name(label), of))
 
 
 def speaker_turns(
@@ -228,7 +266,7 @@ def speaker_turns(
     transcripts without any words give no rows; a null or empty attendee list leaves all labels as written; rows
     with the same id are one meeting, of which one row is read.
     """
-    rows = _named(_entries(df, id_col, transcript, attendees))
+    rows = _entries(df, id_col, transcript, attendees)
     order = Window.partitionBy("__id").orderBy(F.col("__at").asc_nulls_first(), "__place")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     swept = rows.withColumn("__before", F.lag("__words").over(order)).withColumn(

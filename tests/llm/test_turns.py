@@ -50,3 +50,11 @@ def test_edge_rows(spark):
     rows = [(1, None, None), (2, "", "A"), (3, "Um.", None), (None, "A: x", None), (4, "A: hi", ""), (4, "A: hi", ""), (5, "no speaker here at all", None)]
     assert turns(spark, rows) == [(4, 1, "A", "hi")]
     assert turns(spark, []) == []
+
+
+def test_stamps_after_a_long_preamble(spark):
+    preamble = "Meeting notes\nDate: 2025-01-06\nPlace: hall\nAgenda\n1. budget\n2. plans\n\n"
+    text = preamble + "[00:01] Ann Lee: Hello there.\n[00:05] Bo Kim: We start now.\n[00:09] Ann Lee: Fine (00:03)."
+    df = spark.createDataFrame([(1, text, "Ann Lee, Bo Kim")], "meeting_id bigint, meeting_transcript string, attendees string")
+    got = speaker_turns(df, "meeting_id", "meeting_transcript", "attendees").orderBy("turn_no").collect()
+    assert [(r["speaker"], r["start_s"]) for r in got] == [("Ann Lee", 1.0), ("Bo Kim", 5.0), ("Ann Lee", 9.0)]
