@@ -6,8 +6,9 @@ search over the codebooks; the first one or two codes are the cell a vector lies
 the same beam are the cells a query looks into. In a cell, candidates are scored with lookup tables of the query
 and the stored norms, and the best of them are reranked exactly.
 
-Vectors that are equal are searched once and share the result. Cells above a stated size are cut into blocks, on
-both sides, so that no task grows with a popular cell.
+Vectors that are equal are searched once and share the result. Cells are numbered so that similar ones follow each
+other, and a query is sent once to each group of cells that it looks into. Groups above a stated size are cut into
+blocks, on both sides, so that no task grows with a popular cell.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import types as T
 from brightloom.runtime import cut
 
 
+#: Similar cells that a query is sent to at once.
+GROUP = 4
+
+
 def usable(vector: Column, size: int) -> Column:
     """Whether a vector has the size, only finite values and any that is not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -68,11 +73,22 @@ def _clusters(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8)
     return centres
 
 
+def _line(c: np.ndarray) -> np.ndarray:
+    """The rows of c in an order in which neighbours are similar: halved at the median of their main direction, again and again."""
+    if len(c) < 3:
+        return np.arange(len(c))
+    centred = c - c.mean(axis=0)
+    along = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")
+    half = len(c) // 2
+    return np.concatenate([along[:half][_line(c[along[:half]])], along[half:][_line(c[along[half:]])]])
+
+
 class Codebooks:
-    """Additive codebooks: the first ``cell_levels`` of them make up the cell."""
+    """Additive codebooks: the first ``cell_levels`` of them make up the cell; cells of similar number are similar."""
 
     def __init__(self, books: list[np.ndarray], cell_levels: int):
         self.books, self.cell_levels = books, cell_levels
+        self.place = [np.argsort(_line(b)) for b in books[:cell_levels]]
         self.cross = {(a, b): books[a] @ books[b].T for b in range(len(books)) for a in range(b)}
         self.half = [(c**2).sum(axis=1) / 2 for c in books]
 
@@ -137,8 +153,8 @@ class Codebooks:
 
     def cell_number(self, codes: np.ndarray) -> np.ndarray:
         number = np.zeros(codes.shape[:-1], dtype=np.int64)
-        for m in range(self.cell_levels):
-            number = number * len(self.books[m]) + codes[..., m]
+        for m in range(self.cell_levels):  # a group of cells never lies across two codes of the level before
+            number = number * (-(-len(self.books[m]) // GROUP) * GROUP) + self.place[m][codes[..., m]]
         return number
 
 
@@ -168,7 +184,7 @@ def most_similar(
     residual_levels: int = 4,
     beam: int = 10,
     sample: int = 40_000,
-    block: int = 4096,
+    block: int = 16_384,
 ) -> DataFrame:
     """The k most similar vectors, by cosine, of every vector and of every query: is_query, id, neighbour, cosine, place.
 
@@ -225,11 +241,14 @@ def most_similar(
         )
     )
     items = index.where("not is_query").select("h", "vec", "codes", "norm", "cell")
-    lookups = index.select("is_query", "h", "vec", F.explode("looked").alias("cell"))
+    # a query goes once to each group of the cells it looks into, with the cells of the group that it looks into
+    groups = F.array_distinct(F.transform("looked", lambda c: F.floor(c / GROUP)))
+    lookups = index.select("is_query", "h", "vec", "looked", F.explode(groups).alias("near")).withColumn("looked", F.filter("looked", lambda c: F.floor(c / GROUP) == F.col("near")))
+    items = items.withColumn("near", F.floor(F.col("cell") / GROUP))
     load = (
-        items.groupBy("cell").agg(F.count(F.lit(1)).alias("n_items"))
-        .join(lookups.groupBy("cell").agg(F.count(F.lit(1)).alias("n_looks")), "cell")
-        .select("cell", F.ceil(F.col("n_items") / block).cast("int").alias("item_blocks"), F.ceil(F.col("n_looks") / block).cast("int").alias("look_blocks"))
+        items.groupBy("near").agg(F.count(F.lit(1)).alias("n_items"))
+        .join(lookups.groupBy("near").agg(F.count(F.lit(1)).alias("n_looks")), "near")
+        .select("near", F.ceil(F.col("n_items") / block).cast("int").alias("item_blocks"), F.ceil(F.col("n_looks") / block).cast("int").alias("look_blocks"))
     )
 
     def spread(of: str, other: str) -> list[Column]:
@@ -237,48 +256,62 @@ def most_similar(
         own = F.pmod(F.xxhash64("h", F.lit(of)), F.col(of)).cast("int").alias(of)
         return [own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)]
 
-    left = items.join(load, "cell").select(
-        "cell", *spread("item_blocks", "look_blocks"), F.lit(None).cast("boolean").alias("is_query"), "h", "vec", "codes", "norm"
+    left = items.join(load, "near").select(
+        "near", *spread("item_blocks", "look_blocks"), F.lit(None).cast("boolean").alias("is_query"), "h", "vec", "codes", "norm", F.array("cell").alias("cells")
     )
-    right = lookups.join(load, "cell").select(
-        "cell", *spread("look_blocks", "item_blocks"), "is_query", "h", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm")
+    right = lookups.join(load, "near").select(
+        "near", *spread("look_blocks", "item_blocks"), "is_query", "h", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), F.col("looked").alias("cells")
     )
 
     def searched(group: pd.DataFrame) -> pd.DataFrame:
+        """A row a query: the hashes of what its cells of the group hold that is nearest, one after the other, and the cosines."""
         books = sent.value
         is_item = group["is_query"].isna().to_numpy()
         mine, theirs = group[is_item], group[~is_item]
-        out = {"is_query": [], "h": [], "found": [], "cosine": []}  # a row a query: the hashes found, one after the other
+        query, item, cosine = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
         if len(mine) and len(theirs):
             y, codes = matrix(mine["vec"], size), np.frombuffer(b"".join(mine["codes"]), dtype=np.int32).reshape(len(mine), -1)
-            found_h, query_h, flag = np.frombuffer(b"".join(mine["h"]), dtype="V16"), theirs["h"].to_numpy(), theirs["is_query"].to_numpy(dtype=bool)
-            norms = mine["norm"].to_numpy() / 2
-            x = matrix(theirs["vec"], size)
-            keep = min(rerank, len(mine))
-            for a in range(0, len(x), 256):
-                q = x[a : a + 256]
-                score = np.broadcast_to(norms, (len(q), len(mine))).copy()
-                for m in range(codes.shape[1]):  # one lookup per codebook; the tables are small
-                    score -= (q @ books.books[m].T)[:, codes[:, m]]
-                near = np.argpartition(score, keep - 1, axis=1)[:, :keep] if keep < len(mine) else np.broadcast_to(np.arange(keep), (len(q), keep))
-                cosine = np.einsum("qd,qcd->qc", q, y[near])
+            half, x = mine["norm"].to_numpy() / 2, matrix(theirs["vec"], size)
+            of_item = np.concatenate(mine["cells"].to_list())
+            asked = np.repeat(np.arange(len(theirs)), theirs["cells"].map(len))
+            of_query = np.concatenate(theirs["cells"].to_list())
+            for cell in np.unique(of_item):
+                here, askers = np.flatnonzero(of_item == cell), asked[of_query == cell]
+                keep = min(rerank, len(here))
                 best = min(k + 1, keep)
-                place = np.argsort(-cosine, axis=1, kind="stable")[:, :best]
-                value = np.take_along_axis(cosine, place, axis=1)
-                near = np.take_along_axis(near, place, axis=1)
-                n = (value >= least - 1e-6).sum(axis=1)  # the best come first
-                some = np.flatnonzero(n)
-                out["is_query"] += flag[a + some].tolist()
-                out["h"] += query_h[a + some].tolist()
-                out["found"] += [found_h[near[r, : n[r]]].tobytes() for r in some]
-                out["cosine"] += [value[r, : n[r]] for r in some]
-        return pd.DataFrame({name: pd.Series(part, dtype=object) for name, part in out.items()})
+                for a in range(0, len(askers), 256):
+                    q = x[askers[a : a + 256]]
+                    score = np.broadcast_to(half[here], (len(q), len(here))).copy()
+                    for m in range(codes.shape[1]):  # one lookup per codebook; the tables are small
+                        score -= (q @ books.books[m].T)[:, codes[here, m]]
+                    near = np.argpartition(score, keep - 1, axis=1)[:, :keep] if keep < len(here) else np.broadcast_to(np.arange(keep), (len(q), keep))
+                    value = np.einsum("qd,qcd->qc", q, y[here[near]])
+                    first = np.argsort(-value, axis=1, kind="stable")[:, :best]
+                    value = np.take_along_axis(value, first, axis=1)
+                    r, c = np.nonzero(value >= least - 1e-6)
+                    query.append(askers[a + r])
+                    item.append(here[np.take_along_axis(near, first, axis=1)[r, c]])
+                    cosine.append(value[r, c])
+        query, item, cosine = np.concatenate(query), np.concatenate(item), np.concatenate(cosine)
+        order = np.lexsort((-cosine, query))
+        query, item, cosine = query[order], item[order], cosine[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)  # among those of the query
+        kept = place <= k
+        query, item, cosine = query[kept], item[kept], cosine[kept]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        ends = np.append(first[1:], len(query))
+        hashes, asker = np.frombuffer(b"".join(mine["h"]), dtype="V16"), theirs.iloc[query[first]]
+        return pd.DataFrame({
+            "is_query": asker["is_query"].to_numpy(dtype=bool), "h": asker["h"].to_numpy(),
+            "found": pd.Series([hashes[item[a:b]].tobytes() for a, b in zip(first, ends)], dtype=object),
+            "cosine": pd.Series([cosine[a:b] for a, b in zip(first, ends)], dtype=object),
+        })
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hits = (
         left.unionByName(right)
-        .repartition(max(parts, len(sizes) and min(4 * parts, sizes[0])), "cell", "item_blocks", "look_blocks")
-        .groupBy("cell", "item_blocks", "look_blocks")
+        .repartition(4 * parts, "near", "item_blocks", "look_blocks")
+        .groupBy("near", "item_blocks", "look_blocks")
         .applyInPandas(searched, "is_query boolean, h binary, found binary, cosine array<float>")
     )
     return _expanded(rows, hits, k, least)

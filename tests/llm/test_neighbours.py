@@ -73,3 +73,25 @@ def test_more_cells_than_the_beam():
     top, _, cells = books.encode(x, 4, looks=25)
     assert books.cell_number(cells).shape == (2000, 25) and (top == books.encode(x, 4)[0]).all()
     assert all(len(set(row)) == 25 for row in books.cell_number(cells)[:50].tolist())
+
+
+@pytest.mark.parametrize("kw", [{"per_cell": 64}, {"per_cell": 64, "sample": 800}])
+def test_recall_without_a_floor_in_many_cells(spark, kw):
+    x = vectors(6000, 5)
+    levels = N.plan_sizes(len(x), kw["per_cell"], 4, kw.get("sample", 6000))[1]
+    assert levels == (2 if "sample" in kw else 1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[::20] @ u.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -2
+    got = {(r["id"], r["neighbour"]) for r in N.most_similar(frame(spark, x), "chunk_id", "embedding", **kw).collect()}
+    want = {(f"v{i * 20:05d}", f"v{j:05d}") for i in range(len(s)) for j in np.argsort(-s[i])[:10]}
+    assert len(want & got) / len(want) >= 0.9
+
+
+def test_similar_cells_follow_each_other():
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(40, 8))
+    order = N._line(c)
+    assert sorted(order) == list(range(40))
+    steps = np.linalg.norm(np.diff(c[order], axis=0), axis=1).mean()
+    assert steps < np.mean([np.linalg.norm(np.diff(c[rng.permutation(40)], axis=0), axis=1).mean() for _ in range(20)])
