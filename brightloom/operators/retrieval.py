@@ -43,18 +43,24 @@ def keyword_bonus(df: DataFrame, query_text: str, content: str, score: str, boos
 
 
 def within_budget(
-    candidates: DataFrame, query: str, content: str, score: str, id_col: str, most: int = 8, tokens: int = 3000, pool: int = 30
+    candidates: DataFrame, query: str, content: str, score: str, id_col: str, most: int = 8, tokens: int = 3000, pool: int | None = None
 ) -> DataFrame:
     """query, chosen: the ids taken greedily by score until ``most`` are taken, skipping what exceeds the token budget.
 
-    The first is always taken. Of a query, the ``pool`` best candidates are looked at, found by a window that keeps
-    no more per task; ties go to the smaller id.
+    The first is always taken; ties go to the smaller id. All candidates of a query are considered, or with ``pool`` so many
+    of the best. Of those of one size no more than ``most`` can be taken and none above the budget but the first, so that what
+    is gathered of a query is bounded, however many candidates it has.
     """
-    order = Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), id_col)
-    best = candidates.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= pool)
-    lists = best.groupBy(query).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__n"), F.col(id_col).alias("id"), F.coalesce(token_estimate(F.col(content)), F.lit(0)).alias("t")))).alias("__list")
-    )
+    order = [F.col(score).desc_nulls_last(), F.col(id_col)]
+    rank = F.struct(F.col(score).isNull().alias("n"), (-F.col(score)).alias("s"), F.col(id_col).alias("id"), F.coalesce(token_estimate(F.col(content)), F.lit(0)).alias("t"))
+    slim = candidates
+    if pool is not None:
+        slim = slim.withColumn("__n", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("__n") <= pool)
+    ranked = slim.select(query, F.col(score).alias("__score"), F.col(id_col).alias("__id"), rank.alias("c"))
+    alike = Window.partitionBy(query, "c.t").orderBy(F.col("__score").desc_nulls_last(), "__id")
+    kept = ranked.where(F.col("c.t") <= tokens).withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= most).select(query, "c")
+    both = kept.unionByName(ranked.groupBy(query).agg(F.min("c").alias("c")))
+    lists = both.groupBy(query).agg(F.array_sort(F.collect_set("c")).alias("__list"))
     kind = candidates.schema[id_col].dataType.simpleString()
     start = F.struct(F.array().cast(f"array<{kind}>").alias("ids"), F.lit(tokens).alias("left"))
 

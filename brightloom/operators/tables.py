@@ -173,6 +173,12 @@ def trend(df: DataFrame, day: str, value: str, span: int = 5) -> DataFrame:
     )
 
 
+def cache_split(df: DataFrame, key: str, cache: DataFrame) -> DataFrame:
+    """df with is_cached: whether the cache, a table with the same key column, holds the row's key; null keys are never cached."""
+    known = cache.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__hit", F.lit(True))
+    return df.join(known, key, "left").withColumn("is_cached", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
 def contains_names(df: DataFrame, text: str, names: DataFrame, name: str, most: int = 10_000) -> DataFrame:
     """df's rows with every name their text contains.
 

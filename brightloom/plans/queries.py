@@ -280,14 +280,31 @@ def candidate_overlap(spark: SparkSession, d: str) -> DataFrame:
     return c.select("request_id", "cand_id", F.round(retrieval.overlap(c, "query", "content"), 6).alias("jaccard"))
 
 
-@query()
+_KEYWORDS = """o as (select distinct on (request_id) request_id, query from chat_requests order by request_id),
+   k as (select request_id, query, regexp_extract_all(lower(query), '[a-z]{2,}') as words,
+         regexp_replace(query, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]', '', 'g') as han from o),
+   a as (select request_id, words || case when length(han) > 1 then list_transform(range(1, length(han)), lambda i: substring(han, i, 2)) else [] end as w from k),
+   e as (select request_id, unnest(w) as word, generate_subscripts(w, 1) as i from a), f as (select request_id, word, min(i) as i from e group by all),
+   p as (select *, row_number() over (partition by request_id order by i) as place from f), w as (select request_id, list(word) as l from p where place <= 20 group by 1)"""
+
+
+@query(f"""with {_KEYWORDS}, c as (select c.request_id, cand_id, original_score, coalesce(l, []) as l, lower(c.content) as t from rerank_candidates c join o using (request_id) left join w using (request_id))
+   select request_id, cand_id, round(coalesce(original_score, 0) + case when len(l) > 0 and t is not null then least(0.15, 0.15 * len(list_filter(l, lambda x: contains(t, x))) / len(l)) else 0 end, 6) as boosted from c""")
 def candidate_boost(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "chat_requests").select("request_id", "query").dropDuplicates(["request_id"])
     c = table(spark, d, "rerank_candidates").select("request_id", "cand_id", "content", "original_score").join(r, "request_id")
     return retrieval.keyword_bonus(c, "query", "content", "original_score").select("request_id", "cand_id", F.round("boosted", 6).alias("boosted"))
 
 
-@query()
+_TOKENS = f"""coalesce(cast(floor({_HAN.format(x="content")} * 1.5::double + len(regexp_extract_all(content, '[a-zA-Z]+')) * 1.3::double + (length(content) - {_HAN.format(x="content")}
+   - length(regexp_replace(content, '[^a-zA-Z]', '', 'g')) - length(regexp_replace(content, '[^ \\t\\n\\x0B\\f\\r]', '', 'g'))) * 0.5::double) as integer), 0)"""
+
+
+@query(f"""with recursive n as (select request_id, cand_id, {_TOKENS} as t, row_number() over (partition by request_id order by original_score desc nulls last, cand_id) as n from rerank_candidates),
+   g as (select request_id, n, [cand_id] as chosen, greatest(200 - t, 0) as room from n where n = 1
+         union all select g.request_id, n.n, case when len(chosen) < 8 and t <= room then list_append(chosen, cand_id) else chosen end, case when len(chosen) < 8 and t <= room then room - t else room end
+         from g join n on n.request_id is not distinct from g.request_id and n.n = g.n + 1)
+   select request_id, arg_max(chosen, n) as chosen from g group by request_id""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.within_budget(table(spark, d, "rerank_candidates"), "request_id", "content", "original_score", "cand_id", 8, 200)
 
@@ -673,7 +690,8 @@ def graph_co_occurrence(spark: SparkSession, d: str) -> DataFrame:
     return graph.co_occurrence(table(spark, d, "rerank_candidates"), "request_id", "doc_id", 200)
 
 
-@query()
+@query("""with recursive e as (select session_id as a, 'u' || user_id as b from chat_requests where session_id is not null and user_id is not null), u as (select a, b from e union select b, a from e),
+   r as (select a as node, a as c from u union select u.b, r.c from r join u on u.a = r.node) select node, min(c) as component from r group by node""")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chat_requests").select(F.col("session_id").alias("source"), F.concat(F.lit("u"), F.col("user_id")).alias("target"))
     return graph.components(c.where("source is not null and target is not null").distinct())
@@ -708,6 +726,15 @@ def embed_run_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""with o as (select distinct on (chunk_id) chunk_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, metadata.chunk_index as i from vector_records where text is not null order by chunk_id)
+   select chunk_id, md5(t) in (select md5(t) from o where i = 0) as is_cached from o""")
+def embed_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Which chunks' texts an earlier run, over the first chunk of every document, has embedded already."""
+    v = table(spark, d, "vector_records").where("text is not null").select("chunk_id", F.col("metadata.chunk_index").alias("i"), F.md5(T.strip(F.col("text"))).alias("key"))
+    v = v.dropDuplicates(["chunk_id"])
+    return tables.cache_split(v, "key", v.where("i = 0")).select("chunk_id", "is_cached")
+
+
 @query("""with o as (select distinct on (chunk_id) chunk_id, text from vector_records order by chunk_id),
    u as (select regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, min(chunk_id) as source_id from o where text is not null group by 1)
    select chunk_id, source_id from o join u on regexp_replace(o.text, '^\\s+|\\s+$', '', 'g') = u.t""")

@@ -191,6 +191,29 @@ def test_budget_equals_brute_force(spark):
         assert got[q] == chosen
 
 
+def test_budget_considers_all_candidates(spark):
+    random.seed(9)
+    rows = [(i % 2, i, "w " * random.choice([5, 9, 40, 70, 100]), random.choice([0.1, 0.5, 0.9, None])) for i in range(900)]
+    rows += [(2, 2000 + i, "w " * 30, 0.9) for i in range(40)] + [(2, 3000, "w", 0.1), (3, 4000, None, None), (4, 5000, "w " * 500, 0.5), (4, 5001, "", 0.4)]
+    df = spark.createDataFrame(rows, "q int, id int, c string, s double")
+    got = {r["q"]: r["chosen"] for r in retrieval.within_budget(df, "q", "c", "s", "id", 4, 80).collect()}
+    for q in range(5):
+        left, chosen = 80, []
+        for _, i, c, s in sorted([r for r in rows if r[0] == q], key=lambda r: (-(r[3] if r[3] is not None else -1), r[1])):
+            tokens = int(1.3 * len((c or "").split()))
+            if not chosen or (len(chosen) < 4 and tokens <= left):
+                chosen.append(i)
+                left = max(0, left - tokens)
+        assert got[q] == chosen
+    assert 3000 in got[2]  # the forty-first of its query
+
+
+def test_cache_split(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, k string")
+    cache = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert {r["i"]: r["is_cached"] for r in tables.cache_split(df, "k", cache).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_rerank_cut_fills_up(spark):
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.1, 0.9, None, 0.2, 0.3])], "q int, id int, s double")
     assert [r["id"] for r in retrieval.rerank_cut(df, "q", "s", "id", 4).orderBy("place").collect()] == [1, 4, 3, 0]
