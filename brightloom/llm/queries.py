@@ -207,6 +207,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), "doc_id", "text")
 
 
+def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container with what lies in it and how full it is."""
+    placed = p7_containers(spark, sf_dir).groupBy("container").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("fill"))
+    return placed.withColumn("unused", F.lit(1024) - F.col("fill"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
 
