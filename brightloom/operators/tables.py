@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.text import strip
+from brightloom.runtime import cut
 
 NULL_TOKENS = ["", "null", "none", "nan", "n/a", "na"]
 
@@ -130,19 +131,20 @@ def flattened(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *[F.col(f"{column}.{f}").alias(f"{column}_{f}") for f in fields])
 
 
-def streaks(df: DataFrame, key: str, order: str, failed: Column, stretch: int = 10_000) -> DataFrame:
-    """<key>, n_failures, first_<order> of every run of consecutive failures of a key, by a numeric order column.
+def streaks(df: DataFrame, key: str, order: str, failed: Column, stretches: int | None = None) -> DataFrame:
+    """<key>, n_failures, first_<order> of every run of consecutive failures of a key, by an order column.
 
-    The order is cut into stretches of some ``stretch`` rows on average. Runs are found in each stretch of a key, and
-    only those that touch an end of their stretch are joined over the stretches, so that a key of a third of all rows
-    is worked on in many tasks. Rows without key or order are left out; of rows of equal order, failures come first.
+    Keys and order are cut into stretches of about as many rows, at boundaries that Spark samples, however keys and values are
+    spread; stretches: their number, as many as shuffle partitions if not given. Runs are found in each stretch of a key, and only
+    those that touch an end of their stretch are joined over the stretches, so that a key of a third of all rows is
+    worked on in many tasks. Rows without key or order are left out; of rows of equal order, failures come first.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
         F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(failed, F.lit(False)).cast("int").alias("f")
     )
-    span = rows.agg(F.min("o"), F.max("o"), F.count(F.lit(1))).first()
-    width = max(1, (span[1] - span[0]) * stretch // span[2] + 1) if span[2] else 1
-    rows = rows.withColumn("b", F.floor(F.col("o") / width))
+    by = ["k", "o", F.desc("f")]
+    ranged = rows.repartitionByRange(stretches, *by) if stretches else rows.repartitionByRange(*by)
+    rows = cut(ranged.withColumn("b", F.spark_partition_id()))  # cut, as a stretch must stay the same wherever it is read
     at = Window.partitionBy("k", "b").orderBy("o", F.desc("f"))
     size = F.count(F.lit(1)).over(Window.partitionBy("k", "b"))
     numbered = rows.withColumn("n", F.row_number().over(at)).withColumn("size", size)

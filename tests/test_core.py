@@ -144,7 +144,7 @@ def test_streaks_and_breaker_agree(spark, tmp_path):
     random.seed(1)
     rows = [(f"k{i % 3}", i, random.random() < 0.7) for i in range(300)]
     df = spark.createDataFrame(rows, "key string, seq int, bad boolean")
-    runs = tables.streaks(df, "key", "seq", F.col("bad"), stretch=7)
+    runs = tables.streaks(df, "key", "seq", F.col("bad"), stretches=7)
     want, run = [], {}
     for k, i, bad in [*rows, *[(f"k{j}", 999 + j, False) for j in range(3)]]:
         if bad:
