@@ -363,7 +363,7 @@ def _doubtful(query: str | None, content: str) -> bool:
     return near or any(relation_to(t, wanted) == "other" for kind, t in pair.clauses if kind in ("text", "item"))
 
 
-def train(pairs: list[tuple[str | None, str]], rounds: int = 2, steps: int = 80) -> Field:
+def train(pairs: list[tuple[str | None, str]], rounds: int = 2, steps: int = 50) -> Field:
     """A field from the pairs that show no sign of a defect and from the defects made of them; those it still takes for
     defective are left out of a second round."""
     field = None
