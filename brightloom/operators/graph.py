@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightloom.runtime import cut, looked_up
+from brightloom.runtime import cut, hot_keys, looked_up
 
 
 def co_occurrence(df: DataFrame, unit: str, entity: str, most_per_unit: int = 50) -> DataFrame:
@@ -50,9 +50,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     both = edges.where("source is not null and target is not null").select("source", "target")
     both = cut(both.unionByName(both.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct())
+    hubs = cut(hot_keys(both, "target"))
     labels = cut(both.select(F.col("source").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(rounds):
-        around = looked_up(both, "target", labels.withColumnRenamed("node", "target")).groupBy("source").agg(F.min("component").alias("near"))
+        around = looked_up(both, "target", labels.withColumnRenamed("node", "target"), hot=hubs).groupBy("source").agg(F.min("component").alias("near"))
         moved = cut(
             labels.alias("l").join(around.alias("a"), F.col("l.node") == F.col("a.source"), "left").select(
                 "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,16 @@ def action_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
 
     def found(pattern: str, number: int) -> Column:
-        return F.struct(
+        # what stands between owner and task is sought first: where it is missing, a pattern that begins anywhere tries every place
+        between = re.sub(r"^\(\.\+\?\)|\(\.\+\)$", "", pattern)
+        action = F.struct(
             F.lit(number).alias("no"), strip(F.regexp_replace(strip(F.regexp_extract("line", pattern, 1)), r"^[-*•0-9]+[.、．)\s]*", "")).alias("owner"),
             strip(F.regexp_extract("line", pattern, 2)).alias("task"),
         )
+        return F.when(F.col("line").rlike(between), action)
 
-    rows = lines(df, id_col, text_col).select(id_col, "line_no", "line", F.explode(F.array(*[found(p, i) for i, p in enumerate(ACTIONS)])).alias("a"))
+    actions = F.array_compact(F.array(*[found(p, i) for i, p in enumerate(ACTIONS)]))
+    rows = lines(df, id_col, text_col).select(id_col, "line_no", "line", F.explode(actions).alias("a"))
     rows = rows.select(id_col, "line_no", "line", "a.no", "a.owner", "a.task")
     rows = rows.where((F.length("task") >= 2) & F.length("owner").between(1, 20) & ~F.lower("owner").isin(NO_OWNERS))
     first = rows.groupBy(id_col, "owner", "task").agg(F.min(F.struct("line_no", "no", "line")).alias("f"))

@@ -49,15 +49,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def looked_up(df: DataFrame, key: str, unique: DataFrame, share: int = 1000) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """The keys that more than one in ``share`` of df's rows hold: fewer than ``share``, whatever the size of df."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") * share > df.count()).select(key)
+
+
+def looked_up(df: DataFrame, key: str, unique: DataFrame, share: int = 1000, hot: DataFrame | None = None) -> DataFrame:
     """df left-joined by ``key`` to a table with one row a key, whatever part of df's rows one key holds.
 
-    Keys that more than one in ``share`` of df's rows hold are fewer than ``share``, at any size, so that their rows of the
-    unique table are broadcast; the others are joined by a shuffle that no hot key can unbalance. df is read three times, so
-    it should be a table or cut. Null keys stay, without a match.
+    The rows that the unique table has for hot keys are broadcast; the others are joined by a shuffle that no hot key can
+    unbalance. hot: what ``hot_keys`` found before, as it is sought anew otherwise. df is read more than once, so it should be
+    a table or cut. Null keys stay, without a match.
     """
-    total = df.count()
-    hot = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share > total).select(key)
+    hot = hot_keys(df, key, share) if hot is None else hot
     known = F.broadcast(hot.join(unique, key, "left"))
     cold = df.join(F.broadcast(hot), key, "left_anti").join(unique, key, "left")
     return df.join(known, key).unionByName(cold)
