@@ -155,13 +155,16 @@ def language(text: str) -> str:
 
 def relation_to(text: str, wanted: str) -> str:
     """same, other or none: other only where another language is clearly more likely than the one wanted."""
-    score = language_scores(text)
-    best = max(score, key=score.get)
-    if not wanted or score[best] < 0.9:
+    if not wanted:
+        return "none"
+    score = _scores(text)
+    best = max(score)
+    if best < 0.9:
         return "none"
-    return "same" if score[wanted] >= 0.6 * score[best] else "other"
+    return "same" if score[LANGUAGES.index(wanted)] >= 0.6 * best else "other"
 
 
+@lru_cache(maxsize=4096)
 def expected_language(query: str) -> str:
     """The language the question asks for, else the one it is written in."""
     for l, pattern in REQUEST.items():
@@ -238,7 +241,11 @@ def _echo(clause: str, query: str, grams: set[str]) -> float:
     if len(clause) < 4 or not query:
         return 0.0
     n = [clause[i : i + 3] for i in range(len(clause) - 2)]
-    return sum(g in grams for g in n) / max(1, len(n))
+    return sum(map(grams.__contains__, n)) / max(1, len(n))
+
+
+LETTERED = re.compile(r"[a-zà-öø-ÿœа-яё']+")
+UNSIGNED = re.compile(r"[^㐀-鿿぀-ヿ가-힯]+")
 
 
 @lru_cache(maxsize=200_000)
@@ -286,14 +293,16 @@ class Pair:
             ]
             plain_names = len(names)
             low = text.lower()
-            words = re.findall(r"[a-zà-öø-ÿœа-яё']+", low)
+            words = LETTERED.findall(low)
             names += [f"w {w}" for w in words] + [f"b {a} {b}" for a, b in zip(words, words[1:])]
-            signs = re.sub(r"[^㐀-鿿぀-ヿ가-힯]+", " ", low)
-            names += [f"c {signs[j : j + 2]}" for j in range(len(signs) - 1) if " " not in signs[j : j + 2]]
+            if not low.isascii():
+                signs = UNSIGNED.sub(" ", low)
+                names += [f"c {signs[j : j + 2]}" for j in range(len(signs) - 1) if " " not in signs[j : j + 2]]
             # the words of a clause together weigh as much as a few other features
             lexical = max(1, len(names) - plain_names)
-            values = np.r_[np.ones(plain_names), np.full(len(names) - plain_names, min(1.0, 5.0 / lexical))]
-            self.features.append((np.array([_bucket(n) for n in names], dtype=np.int64), values))
+            values = np.full(len(names), min(1.0, 5.0 / lexical))
+            values[:plain_names] = 1.0
+            self.features.append((np.fromiter(map(_bucket, names), dtype=np.int64, count=len(names)), values))
 
     def labels(self) -> list[int]:
         """What the clauses are known to be; answers, if nothing is known."""
