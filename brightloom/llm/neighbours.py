@@ -25,7 +25,7 @@ from brightloom.runtime import cut
 
 
 #: Similar cells that a query is sent to at once.
-GROUP = 4
+GROUP = 8
 
 
 def usable(vector: Column, size: int) -> Column:
