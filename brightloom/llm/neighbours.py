@@ -7,24 +7,29 @@ the same beam are the cells a query looks into. In a cell, candidates are scored
 and the stored norms, and the best of them are reranked exactly.
 
 Vectors that are equal are searched once and share the result. Cells are numbered so that similar ones follow each
-other, and a query is sent once to each group of cells that it looks into. Groups above a stated size are cut into
-blocks, on both sides, so that no task grows with a popular cell.
+other, and the index is stored by groups of such cells in the folder that all executors share. A task has a bounded
+part of a group's vectors as queries and reads the other groups in place, so that what is moved and stored does not
+grow with the number of cells that a query looks into. The index is removed when the search has ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightloom.runtime import cut
+from brightloom.runtime import cut, remove_folder, shared_folder
 
 
-#: Similar cells that a query is sent to at once.
+#: Similar cells that are stored and read together.
 GROUP = 8
 
 
@@ -168,6 +173,61 @@ def plan_sizes(n: int, per_cell: int, residual_levels: int, sample: int) -> tupl
     return [first, min(most, -(-cells // first))] + [256] * residual_levels, 2
 
 
+def _stored(column: pa.ChunkedArray, dtype: str, length: int) -> np.ndarray:
+    """A binary column whose values all hold ``length`` numbers of dtype, as a table of numbers."""
+    rows = [np.frombuffer(c.buffers()[2], dtype=dtype).reshape(-1, length)[c.offset : c.offset + len(c)] for c in column.chunks if len(c)]
+    return np.concatenate(rows) if rows else np.empty((0, length), dtype=dtype)
+
+
+def _batches(folder: str, near: int, columns: list[str], rows: int) -> Iterator[pa.Table]:
+    """What the stored index holds of a group of cells, a bounded number of rows at a time, in the same order for all tasks."""
+    files, path = fs.FileSystem.from_uri(folder)
+    found = files.get_file_info(fs.FileSelector(f"{path}/near={near}", allow_not_found=True))
+    for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
+        with files.open_input_file(name) as opened:
+            for batch in pq.ParquetFile(opened).iter_batches(batch_size=rows, columns=columns, use_threads=False):
+                yield pa.Table.from_batches([batch])
+
+
+class _Nearest:
+    """The best items found so far of each query of a task, and what a further one must reach to be among them."""
+
+    def __init__(self, n: int, keep: int, least: float):
+        self.keep, self.low, self.held = keep, np.full(n, least - 1e-6, dtype=np.float32), 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype="V16"), np.empty(0, dtype=np.float32))]
+
+    def add(self, at: np.ndarray, value: np.ndarray, hashes: np.ndarray, may: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Cosines of the queries ``at`` and of all items of ``hashes``; may: which items are candidates of some of these queries.
+
+        Only where an item reaches a query's limit it matters which are its candidates.
+        """
+        row = np.flatnonzero(value.max(axis=1) >= self.low[at])
+        if not len(row):
+            return
+        at, value = at[row], np.where(may(row), value[row], np.float32(-2))
+        hit = np.flatnonzero(value >= self.low[at][:, None])
+        if len(hit) > self.keep * len(at):  # the best of these items alone set a limit to the others
+            self.low[at] = np.maximum(self.low[at], np.partition(value, -self.keep, axis=1)[:, -self.keep])
+            hit = np.flatnonzero(value >= self.low[at][:, None])
+        row, column = hit // len(hashes), hit % len(hashes)
+        self.parts.append((at[row], hashes[column], value[row, column]))
+        self.held += len(hit)
+        if self.held > 2_000_000:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, hash of the item and cosine of the first ``keep``, best first."""
+        query, item, cosine = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((item.view(">u8").reshape(-1, 2)[:, 0], -cosine, query))
+        query, item, cosine = query[order], item[order], cosine[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)  # among those of the query
+        last = place == self.keep - 1
+        self.low[query[last]] = np.maximum(self.low[query[last]], cosine[last])
+        kept = place < self.keep
+        self.parts, self.held = [(query[kept], item[kept], cosine[kept])], 0
+        return self.parts[0]
+
+
 def most_similar(
     vectors: DataFrame,
     id_col: str,
@@ -200,19 +260,25 @@ def most_similar(
 
     def ready(df: DataFrame, key: str, vector: str, is_query: bool) -> DataFrame:
         rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v"))
-        rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"), size)).dropDuplicates(["id"])
+        rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"), size))
         return rows.select(F.lit(is_query).alias("is_query"), "id", unit_bytes("v").alias("vec"))
 
-    rows = ready(vectors, id_col, vector_col, False)
+    given = ready(vectors, id_col, vector_col, False)
     if queries is not None:
-        rows = rows.unionByName(ready(queries, query_id, query_vector, True))
-    rows = cut(rows.withColumn("h", F.unhex(F.md5("vec"))))
-    distinct = rows.groupBy("is_query", "h").agg(F.any_value("vec").alias("vec"))
+        given = given.unionByName(ready(queries, query_id, query_vector, True))
+    given = given.withColumn("h", F.unhex(F.md5("vec")))
+    # ids meet by the hash of their vector; the vector itself is read again where it is needed, so that it is moved but twice
+    rows = cut(given.groupBy("is_query", "id").agg(F.min("h").alias("h")))
     n = rows.where("not is_query").count()
     fields = "is_query boolean, id string, neighbour string, cosine double, place int"
     if not n:
         return spark.createDataFrame([], fields)
-    chosen = distinct.where("not is_query").orderBy(F.xxhash64("h"), "h").limit(sample).select("vec").toPandas()
+    held = rows.select("is_query", "h").distinct()
+    drawn = F.xxhash64("h")
+    items = held.where("not is_query")
+    last = items.select(drawn.alias("drawn")).orderBy("drawn").limit(sample).agg(F.max("drawn")).first()[0]
+    chosen = given.where(~F.col("is_query") & (drawn <= last)).join(items.where(drawn <= last).select("h"), "h", "left_semi")
+    chosen = chosen.groupBy("h").agg(F.any_value("vec").alias("vec")).orderBy(drawn, "h").select("vec").toPandas()
     x = matrix(chosen["vec"], size)
     sizes, cell_levels = plan_sizes(n, per_cell, residual_levels, len(x))
     looks = max(probes, int(np.ceil(1.6 * np.sqrt(np.prod(sizes[:cell_levels])))))
@@ -224,97 +290,86 @@ def most_similar(
         for batch in batches:
             for a in range(0, len(batch), 1024):
                 part = batch.iloc[a : a + 1024]
-                x = matrix(part["vec"], size)
-                codes, norms, cells = books.encode(x, beam, looks=looks)
-                looked = books.cell_number(cells)[:, :looks]
+                codes, norms, _ = books.encode(matrix(part["vec"], size), beam)
+                cell = books.cell_number(codes)
                 yield pd.DataFrame(
                     {
                         "is_query": part["is_query"].to_numpy(), "h": part["h"].to_numpy(), "vec": part["vec"].to_numpy(),
-                        "codes": [c.astype(np.int32).tobytes() for c in codes], "norm": norms,
-                        "cell": books.cell_number(codes), "looked": list(looked),
+                        "codes": [c.tobytes() for c in codes.astype(np.int32)], "norm": norms, "cell": cell, "near": cell // GROUP,
                     }
                 )
 
-    index = cut(
-        distinct.mapInPandas(
-            encoded, "is_query boolean, h binary, vec binary, codes binary, norm float, cell bigint, looked array<bigint>"
-        )
-    )
-    items = index.where("not is_query").select("h", "vec", "codes", "norm", "cell")
-    # a query goes once to each group of the cells it looks into, with the cells of the group that it looks into
-    groups = F.array_distinct(F.transform("looked", lambda c: F.floor(c / GROUP)))
-    lookups = index.select("is_query", "h", "vec", "looked", F.explode(groups).alias("near")).withColumn("looked", F.filter("looked", lambda c: F.floor(c / GROUP) == F.col("near")))
-    items = items.withColumn("near", F.floor(F.col("cell") / GROUP))
-    load = (
-        items.groupBy("near").agg(F.count(F.lit(1)).alias("n_items"))
-        .join(lookups.groupBy("near").agg(F.count(F.lit(1)).alias("n_looks")), "near")
-        .select("near", F.ceil(F.col("n_items") / block).cast("int").alias("item_blocks"), F.ceil(F.col("n_looks") / block).cast("int").alias("look_blocks"))
+    # the index: every distinct vector once, by groups of cells, where all tasks can read it
+    index = (
+        given.groupBy("is_query", "h").agg(F.any_value("vec").alias("vec")).join(held, ["is_query", "h"], "left_semi")
+        .mapInPandas(encoded, "is_query boolean, h binary, vec binary, codes binary, norm float, cell bigint, near bigint")
     )
+    folder = shared_folder(spark)
+    try:
+        stored = index.hint("rebalance", "near").sortWithinPartitions("near", "cell").write.partitionBy("near")
+        stored.option("parquet.enable.dictionary", "false").parquet(folder, compression="uncompressed")
+        groups = spark.read.schema("near bigint").parquet(folder).groupBy("near").count().collect()
+        units = [(near, b, blocks) for near, rows_of in sorted(groups) for blocks in [-(-rows_of // block)] for b in range(blocks)]
+
+        def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for near, part, parts in batch.itertuples(index=False):
+                    yield _searched(sent.value, folder, near, part, parts, size, k, least, beam, looks, rerank, block)
+
+        work = spark.sparkContext.parallelize(units, len(units)).toDF("near bigint, part int, parts int")
+        hits = cut(work.mapInPandas(searched, "is_query boolean, h binary, found binary, cosine array<float>"))
+    finally:
+        remove_folder(spark, folder)
+    return _expanded(rows, hits, k, least)
 
-    def spread(of: str, other: str) -> list[Column]:
-        """A row goes to one block of its own side, for every block of the other side."""
-        own = F.pmod(F.xxhash64("h", F.lit(of)), F.col(of)).cast("int").alias(of)
-        return [own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)]
-
-    left = items.join(load, "near").select(
-        "near", *spread("item_blocks", "look_blocks"), F.lit(None).cast("boolean").alias("is_query"), "h", "vec", "codes", "norm", F.array("cell").alias("cells")
-    )
-    right = lookups.join(load, "near").select(
-        "near", *spread("look_blocks", "item_blocks"), "is_query", "h", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"), F.col("looked").alias("cells")
-    )
 
-    def searched(group: pd.DataFrame) -> pd.DataFrame:
-        """A row a query: the hashes of what its cells of the group hold that is nearest, one after the other, and the cosines."""
-        books = sent.value
-        is_item = group["is_query"].isna().to_numpy()
-        mine, theirs = group[is_item], group[~is_item]
-        query, item, cosine = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
-        if len(mine) and len(theirs):
-            y, codes = matrix(mine["vec"], size), np.frombuffer(b"".join(mine["codes"]), dtype=np.int32).reshape(len(mine), -1)
-            half, x = mine["norm"].to_numpy() / 2, matrix(theirs["vec"], size)
-            of_item = np.concatenate(mine["cells"].to_list())
-            asked = np.repeat(np.arange(len(theirs)), theirs["cells"].map(len))
-            of_query = np.concatenate(theirs["cells"].to_list())
-            for cell in np.unique(of_item):
-                here, askers = np.flatnonzero(of_item == cell), asked[of_query == cell]
-                keep = min(rerank, len(here))
-                best = min(k + 1, keep)
+def _searched(
+    books: Codebooks, folder: str, near: int, part: int, parts: int, size: int, k: int, least: float, beam: int, looks: int, rerank: int, block: int
+) -> pd.DataFrame:
+    """A row for each query of a part of a group: the hashes of what its cells hold that is nearest, one after the other, and the cosines."""
+    mine, seen = [], 0
+    for table in _batches(folder, near, ["is_query", "h", "vec"], block):
+        mine.append(table.take(np.flatnonzero((seen + np.arange(len(table))) % parts == part)))
+        seen += len(table)
+    mine = pa.concat_tables(mine)
+    x = _stored(mine["vec"], "f4", size)
+    levels = books.cell_levels
+    cells = np.concatenate([books.cell_number(books.encode(x[a : a + 1024], beam, levels, looks)[2])[:, :looks] for a in range(0, len(x), 1024)])
+    asked, asker = cells.ravel(), np.repeat(np.arange(len(x)), cells.shape[1])
+    order = np.argsort(asked, kind="stable")
+    asked, asker = asked[order], asker[order]
+    nearest = _Nearest(len(x), k + 1, least)
+    for other in sorted(np.unique(asked // GROUP), key=lambda g: (abs(g - near), g)):  # the likeliest first
+        for items in _batches(folder, other, ["is_query", "h", "vec", "codes", "norm", "cell"], block):
+            items = items.filter(pc.invert(items["is_query"]))
+            cell, y = items["cell"].to_numpy(), _stored(items["vec"], "f4", size)
+            hashes, half = _stored(items["h"], "V16", 1)[:, 0], items["norm"].to_numpy() / 2
+            codes = _stored(items["codes"], "i4", len(books.books))
+            for c in np.unique(cell):
+                askers = asker[np.searchsorted(asked, c) : np.searchsorted(asked, c, side="right")]
+                if not len(askers):
+                    continue
+                here = cell == c
+                y_c, half_c, hashes_c, keep = y[here], half[here], hashes[here], min(rerank, int(here.sum()))
+                coded = sum(b[codes[here, m]] for m, b in enumerate(books.books))
                 for a in range(0, len(askers), 256):
                     q = x[askers[a : a + 256]]
-                    score = np.broadcast_to(half[here], (len(q), len(here))).copy()
-                    for m in range(codes.shape[1]):  # one lookup per codebook; the tables are small
-                        score -= (q @ books.books[m].T)[:, codes[here, m]]
-                    near = np.argpartition(score, keep - 1, axis=1)[:, :keep] if keep < len(here) else np.broadcast_to(np.arange(keep), (len(q), keep))
-                    value = np.einsum("qd,qcd->qc", q, y[here[near]])
-                    first = np.argsort(-value, axis=1, kind="stable")[:, :best]
-                    value = np.take_along_axis(value, first, axis=1)
-                    r, c = np.nonzero(value >= least - 1e-6)
-                    query.append(askers[a + r])
-                    item.append(here[np.take_along_axis(near, first, axis=1)[r, c]])
-                    cosine.append(value[r, c])
-        query, item, cosine = np.concatenate(query), np.concatenate(item), np.concatenate(cosine)
-        order = np.lexsort((-cosine, query))
-        query, item, cosine = query[order], item[order], cosine[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)  # among those of the query
-        kept = place <= k
-        query, item, cosine = query[kept], item[kept], cosine[kept]
-        first = np.flatnonzero(np.diff(query, prepend=-1))
-        ends = np.append(first[1:], len(query))
-        hashes, asker = np.frombuffer(b"".join(mine["h"]), dtype="V16"), theirs.iloc[query[first]]
-        return pd.DataFrame({
-            "is_query": asker["is_query"].to_numpy(dtype=bool), "h": asker["h"].to_numpy(),
-            "found": pd.Series([hashes[item[a:b]].tobytes() for a, b in zip(first, ends)], dtype=object),
-            "cosine": pd.Series([cosine[a:b] for a, b in zip(first, ends)], dtype=object),
-        })
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hits = (
-        left.unionByName(right)
-        .repartition(4 * parts, "near", "item_blocks", "look_blocks")
-        .groupBy("near", "item_blocks", "look_blocks")
-        .applyInPandas(searched, "is_query boolean, h binary, found binary, cosine array<float>")
-    )
-    return _expanded(rows, hits, k, least)
+
+                    def may(row: np.ndarray, q=q, coded=coded, half_c=half_c, keep=keep) -> np.ndarray:  # noqa: ANN001
+                        """The items of the best scores; a query's table entries add up to its product with the sum of the codewords."""
+                        score = half_c - q[row] @ coded.T
+                        return score <= np.partition(score, keep - 1, axis=1)[:, keep - 1 : keep]
+
+                    nearest.add(askers[a : a + 256], q @ y_c.T, hashes_c, may)
+    query, item, cosine = nearest.best()
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    ends = np.append(first[1:], len(query))
+    found = mine.take(query[first])
+    return pd.DataFrame({
+        "is_query": found["is_query"].to_numpy(), "h": found["h"].to_pandas(),
+        "found": pd.Series([item[a:b].tobytes() for a, b in zip(first, ends)], dtype=object),
+        "cosine": pd.Series([cosine[a:b] for a, b in zip(first, ends)], dtype=object),
+    })
 
 
 def _expanded(rows: DataFrame, hits: DataFrame, k: int, least: float) -> DataFrame:

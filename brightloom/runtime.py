@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's address within the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    address = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    return re.sub("^file:/*", "file:///", address)
+
+
+def remove_folder(spark: SparkSession, address: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(address)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table as it is read, in at least as many partitions as there are cores, for work that is dear per row.
 

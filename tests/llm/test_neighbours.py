@@ -88,6 +88,21 @@ def test_recall_without_a_floor_in_many_cells(spark, kw):
     assert len(want & got) / len(want) >= 0.9
 
 
+def test_disk_does_not_follow_the_cells_looked_into(spark, tmp_path):
+    def moved(n, **kw):
+        """Bytes written by shuffles for each vector searched."""
+        store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"moved {n} {kw}", "")
+        x = frame(spark, vectors(n, 11))
+        N.most_similar(x, "chunk_id", "embedding", least=0.9, per_cell=32, **kw).write.parquet(str(tmp_path / f"{n} {len(kw)}"))
+        stages = {s for j in tracker.getJobIdsForGroup(f"moved {n} {kw}") for s in tracker.getJobInfo(j).stageIds}
+        spark.sparkContext.setJobGroup("other", "")
+        return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s)) / n
+
+    few, many = moved(4000), moved(4000, probes=60)
+    assert many < 1.1 * few and few < 5 * 64 * 4
+
+
 def test_similar_cells_follow_each_other():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(40, 8))
